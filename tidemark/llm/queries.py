@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact, langid, packing, pii, quality, substrings, tokencount, toxicity
+from tidemark.llm import exact, langid, mixing, packing, pii, quality, shinglejoin, substrings, tokencount, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,12 +41,26 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_rates(table(spark, sf_dir, "documents"), mixing.label_domains(table(spark, sf_dir, "labels")))
+
+
+def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shinglejoin.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_packing, op3_language, op4_quality_rules, op5_substring_dedup, op6_token_counts, op7_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_packing, op3_language, op4_quality_rules, op5_substring_dedup, op6_token_counts, op7_toxicity, op8_mixing, op9_shingle_join, op10_exact_dedup, pipeline)}
 
 
 NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
