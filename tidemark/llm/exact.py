@@ -6,8 +6,9 @@
   group of copies, however large, gives one entry for each run).  A newer run's digests are
   first put to the filter of what is merged so far; those that cannot be there are appended,
   the others are merged, keeping the smallest identifier and adding up the rows.
-* **Hits.** Only digests with more than one row leave the index.  A hit counts once its bytes
-  equal those of the row that stays; rows that share a digest but not the bytes are grouped by bytes.
+* **Hits.** Only digests with more than one row leave the index, with a filter of fixed size over all
+  of them: texts that it excludes stand alone, and their bytes are not moved.  A hit counts once its
+  bytes equal those of the row that stays; rows that share a digest but not the bytes are grouped by bytes.
 
 Texts are equal when identical after replacing each run of ASCII white space by one space; null is
 the empty text.  Of equal texts the row with the smallest doc_id stays; a null doc_id is larger than
@@ -34,6 +35,8 @@ MEMTABLE = 200_000
 RANGE_ROWS = 1_000_000
 #: Bits of a run's filter for each of its digests, and how many of them a digest sets.
 FILTER_BITS, FILTER_HASHES = 12, 4
+#: Bits of the one filter over all hits, in blocks; where hits outgrow it, more bytes move and results stay the same.
+HIT_BITS, HIT_BLOCK = 1 << 23, 1 << 17
 #: Stands for a null identifier while numbers are compared.
 NO_ID = np.iinfo(np.int64).max
 
@@ -154,14 +157,48 @@ def _compact(table: pa.Table) -> pa.Table:
     })
 
 
-def _digested(size: int):
+def _blocks(batches):
+    """The filter's bits that a task's hits set, block by block."""
+    bits = np.zeros(HIT_BITS // 8, np.uint8)
+    for batch in batches:
+        keys = np.frombuffer(b"".join(batch.column("digest").to_pylist()), ">u8").reshape(-1, 4).astype(np.uint64)
+        places = Filter._places(keys, HIT_BITS).ravel()
+        np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
+    size = HIT_BLOCK // 8
+    used = [(k, bits[k * size : (k + 1) * size].tobytes()) for k in range(HIT_BITS // HIT_BLOCK) if bits[k * size : (k + 1) * size].any()]
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in used], pa.int32()), pa.array([b for _, b in used], pa.binary())], names=["block", "bits"])
+
+
+def _either(batches):
+    """One row for each block that the batches have, however many rows they hold."""
+    blocks: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, b in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+            blocks[k] = blocks[k] | np.frombuffer(b, np.uint8) if k in blocks else np.frombuffer(b, np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array([b.tobytes() for b in blocks.values()], pa.binary())], names=["block", "bits"])
+
+
+def hit_filter(hits: DataFrame) -> Filter:
+    """A filter of HIT_BITS bits, whatever the number of hits."""
+    kind = "block int, bits binary"
+    bits = np.zeros(HIT_BITS // 8, np.uint8)
+    for row in hits.select("digest").mapInArrow(_blocks, kind).repartition("block").mapInArrow(_either, kind).toLocalIterator():
+        bits[row["block"] * HIT_BLOCK // 8 : (row["block"] + 1) * HIT_BLOCK // 8] |= np.frombuffer(row["bits"], np.uint8)
+    return Filter(bits=bits)
+
+
+def _digested(size: int, known: Filter):
+    """Digests of all rows; the bytes, packed, only of those that may be hits."""
+
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches):
             texts = [normalised(x) for x in raw(batch)]
+            keys = [digest(x, size) for x in texts]
+            maybe = known.may_have(np.frombuffer(b"".join(keys), ">u8").reshape(-1, 4).astype(np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([digest(x, size) for x in texts], pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in texts]), pa.array([pack.compress(x) for x in texts], pa.binary())],
-                names=["doc_id", "digest", "text_sha256", "packed"],
+                [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary()), pa.array([pack.compress(x) if m else None for x, m in zip(texts, maybe, strict=True)], pa.binary())],
+                names=["doc_id", "digest", "sha", "packed"],
             )
 
     return run
@@ -178,17 +215,17 @@ def exact_groups(docs: DataFrame, memtable: int = MEMTABLE, digest_bytes: int =
     runs = docs.mapInArrow(_flush(parts, digest_bytes, memtable), RUN)
     hits = stored(runs.groupBy("part").applyInArrow(_compact, HIT), "exact-hits")
 
-    rows = docs.mapInArrow(_digested(digest_bytes), "doc_id long, digest binary, text_sha256 string, packed binary")
+    rows = docs.mapInArrow(_digested(digest_bytes, hit_filter(hits)), "doc_id long, digest binary, sha binary, packed binary")
     # the row that stays, with its bytes; rows that repeat its id and text are one document, so the smallest bytes serve
     kept = (
-        rows.join(hits, "digest")
+        rows.where("packed is not null").join(hits, "digest")
         .where(F.coalesce("doc_id", F.lit(int(NO_ID))) == F.col("keep_id"))
         .groupBy("digest", "keep_id", "group_size")
         .agg(F.min("packed").alias("kept_bytes"))
     )
     found = stored(
         rows.join(kept, "digest", "left").select(
-            "doc_id", "digest", "text_sha256", "keep_id", "group_size",
+            "doc_id", "digest", F.lower(F.hex("sha")).alias("text_sha256"), "keep_id", "group_size",
             F.when(F.col("keep_id").isNotNull(), F.col("packed") == F.col("kept_bytes")).alias("same"),
         ),
         "exact-found",
@@ -202,7 +239,7 @@ def exact_groups(docs: DataFrame, memtable: int = MEMTABLE, digest_bytes: int =
         # digests that met by accident: their rows are grouped by the bytes themselves
         own = rows.join(odd, "digest", "left_semi")
         per = own.groupBy("digest", "packed").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        apart = own.join(per, ["digest", "packed"]).select("doc_id", "keep_id", "group_size", "text_sha256")
+        apart = own.join(per, ["digest", "packed"]).select("doc_id", "keep_id", "group_size", F.lower(F.hex("sha")).alias("text_sha256"))
         hit = (
             found.where("same is not null").join(odd, "digest", "left_anti")
             .select("doc_id", F.nullif("keep_id", F.lit(int(NO_ID))).alias("keep_id"), "group_size", "text_sha256").unionByName(apart)
