@@ -1,8 +1,9 @@
 """Mixing of documents to target weights of domains, by soft memberships.  DataFrame functions only.
 
-* **Posteriors.** A naive Bayes classifier is counted from a bounded sample of labelled rows: presence
-  of the VOCABULARY words and runs of punctuation that tell the domains apart best.  Each document gets
-  a posterior over the domains, tempered so that it stays soft.
+* **Posteriors.** A Poisson naive Bayes classifier is counted from a bounded sample of labelled rows:
+  how often for each token the VOCABULARY words and runs of punctuation occur that tell the domains
+  apart best.  Each document gets a posterior over the domains from those that it has, and from the
+  length over which it lacks the others.
 * **Rates.** With tokens t, posteriors p and rates r, the expected tokens of domain d are the sum of
   t * p_d * r.  Projected gradient descent fits r between 0 and `most` so that these meet the targets in
   the least squares: each step sums one number for each domain over all documents, and moves each
@@ -30,12 +31,14 @@ from tidemark.llm.words import stored
 
 #: Labelled rows that are learned from, at most (those with the smallest hashes of their id), and words kept.
 LABELLED, VOCABULARY = 8_000, 128
-#: Texts of the sample that a word must stand in; smoothing of its counts; softening of the posteriors.
-SUPPORT, PRIOR, TEMPER = 8, 1.0, 0.5
-#: Steps at most, the misfit (share of all tokens) at which they end, and the pull towards rate 1.
-STEPS, TOLERANCE, PULL = 30, 1e-4, 1e-4
+#: Texts of the sample that a word must stand in, the share of all that it may stand in, smoothing in tokens.
+SUPPORT, COMMON, PRIOR = 8, 0.5, 5_000
+#: Tokens over which lacking a word counts, at most: presence is counted once, however long a text is.
+REACH = 200
+#: Steps at most, the change of the misfits (share of all tokens) at which they end, and the pull towards rate 1.
+STEPS, TOLERANCE, PULL = 20, 1e-3, 1e-4
 #: Weights of tokens by domain of the labels table.
-TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
+TARGETS = {"clean": 0.92, "low": 0.06, "toxic": 0.02}
 #: ASCII white space, as the words of a text are counted.
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -58,7 +61,8 @@ def _features() -> Column:
 
 
 def _tokens() -> Column:
-    return F.size(F.filter(F.split(_text(), _SPACE), lambda w: w != "")).cast("long")
+    words = F.btrim(_text(), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(words == "", 0).otherwise(F.size(F.split(words, _SPACE))).cast("long")
 
 
 class Classifier:
@@ -67,8 +71,9 @@ class Classifier:
     def __init__(self, docs: DataFrame, domains: DataFrame):
         pick = domains.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(LABELLED).groupBy(F.col("doc_id").alias("pick")).agg(F.min("domain").alias("domain"))
         # at most LABELLED rows, so they may be broadcast
-        sample = stored(docs.join(F.broadcast(pick), docs["doc_id"] == F.col("pick")).select("domain", _features().alias("found")), "mixing-sample")
-        self.counts = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+        sample = stored(docs.join(F.broadcast(pick), docs["doc_id"] == F.col("pick")).select("domain", _tokens().alias("n_tokens"), _features().alias("found")), "mixing-sample")
+        sizes = sample.groupBy("domain").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).collect()
+        self.counts, tokens = {r["domain"]: r["n"] for r in sizes}, {r["domain"]: r["tokens"] for r in sizes}
         self.names = sorted(self.counts)
         if not self.names:
             return
@@ -77,23 +82,35 @@ class Classifier:
         n = reduce(lambda a, b: a + b, (F.col(f"n{k}") for k in range(len(self.names))))
         # how far the share of each domain among the texts with the word is from its share of all texts
         tells = reduce(lambda a, b: a + b, (F.pow(F.col(f"n{k}") - n * self.counts[d] / total, 2) / (n * self.counts[d] / total) for k, d in enumerate(self.names)))
-        best = per.where(n >= SUPPORT).orderBy(tells.desc(), "word").limit(VOCABULARY).collect()
+        best = per.where((n >= SUPPORT) & (n <= COMMON * total)).orderBy(tells.desc(), "word").limit(VOCABULARY).collect()
         self.words = [r["word"] for r in best]
-        share = [[(r[f"n{k}"] + PRIOR) / (self.counts[d] + 2 * PRIOR) for k, d in enumerate(self.names)] for r in best]
-        self.base = [math.log(self.counts[d] / total) + sum(math.log(1 - s[k]) for s in share) for k, d in enumerate(self.names)]
-        self.steps = [[math.log(s[k]) - math.log(1 - s[k]) for k in range(len(self.names))] for s in share]
+        # each domain's rates lean to the rate over all, by as much as PRIOR tokens would weigh
+        pooled = [sum(r[f"n{k}"] for k in range(len(self.names))) / max(sum(tokens.values()), 1) for r in best]
+        rates = [[(r[f"n{k}"] + PRIOR * q) / (tokens[d] + PRIOR) for k, d in enumerate(self.names)] for r, q in zip(best, pooled, strict=True)]
         self.prior = [self.counts[d] / total for d in self.names]
-
-    def posteriors(self) -> Column:
-        """An array with one posterior for each of self.names."""
-        if not self.words:
-            return F.array(*map(F.lit, self.prior))
-        hits = F.array_intersect(_features(), F.array(*map(F.lit, self.words)))
-        weights = F.create_map(*(x for w, s in zip(self.words, self.steps, strict=True) for x in (F.lit(w), F.array(*map(F.lit, s)))))
-        score = F.aggregate(hits, F.array(*map(F.lit, self.base)), lambda total, w: F.zip_with(total, F.element_at(weights, w), lambda a, b: a + b))
-        odds = F.transform(score, lambda x: F.exp(F.lit(TEMPER) * (x - F.array_max(score))))
-        total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-        return F.when(_text() == "", F.array(*map(F.lit, self.prior))).otherwise(F.transform(odds, lambda x: x / total(odds)))
+        self.lacks = [sum(r[k] for r in rates) for k in range(len(self.names))]
+        self.steps = [[math.log(r[k]) for k in range(len(self.names))] for r in rates]
+
+    def _seen(self, k: int) -> Column:
+        known = F.create_map(*(x for w, s in zip(self.words, self.steps, strict=True) for x in (F.lit(w), F.lit(s[k]))))
+        return F.aggregate("__hits", F.lit(0.0), lambda total, w: total + F.element_at(known, w))
+
+    def judged(self, docs: DataFrame) -> DataFrame:
+        """docs with __n_tokens, and __p: one posterior for each of self.names.
+
+        What is used more than once is a column of its own, so that it is computed once.
+        """
+        each = range(len(self.names))
+        out = docs.withColumn("__n_tokens", _tokens()).withColumn("__hits", F.array_intersect(_features(), F.array(*map(F.lit, self.words)).cast("array<string>")))
+        scores = {}
+        for k in each:
+            seen = self._seen(k) if self.words else F.lit(0.0)
+            scores[f"__s{k}"] = F.lit(math.log(self.prior[k])) - F.least(F.col("__n_tokens"), F.lit(REACH)) * F.lit(self.lacks[k]) + seen
+        out = out.withColumns(scores)
+        out = out.withColumn("__top", F.greatest(*(f"__s{k}" for k in each)) if len(each) > 1 else F.col("__s0"))
+        out = out.withColumns({f"__e{k}": F.exp(F.col(f"__s{k}") - F.col("__top")) for k in each})
+        out = out.withColumn("__all", reduce(lambda a, b: a + b, (F.col(f"__e{k}") for k in each)))
+        return out.withColumn("__p", F.array(*(F.col(f"__e{k}") / F.col("__all") for k in each))).select(*docs.columns, "__n_tokens", "__p")
 
 
 def rate(p: Column, history: list[list[float]], most: float) -> Column:
@@ -118,38 +135,40 @@ def fitted(known: DataFrame, names: list[str], targets: dict[str, float], most:
     scale = have[main] / goals[main] if goals[main] > 0 else 0.0
     want = {k: min(goals[k] * scale, most * have[k]) for k in used}
     history: list[list[float]] = []
+    before = {k: math.inf for k in used}
     for _ in range(STEPS):
         now = list(known.agg(*sums(rate(F.col("p"), history, most))).first())
         misfit = {k: now[k] - want[k] for k in used}
-        if max(map(abs, misfit.values())) <= TOLERANCE * total:
+        if max(abs(misfit[k] - before[k]) for k in used) <= TOLERANCE * total:
             break
+        before = misfit
         history.append([misfit[k] / have[k] if k in used else 0.0 for k in range(len(names))])
     return history
 
 
-def mixed(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None = None, most: float = 1.0) -> tuple[DataFrame, Classifier]:
-    """docs with further columns n_tokens, p, rate, copies under names that start with two underscores."""
-    classifier = Classifier(docs, domains)
-    if not classifier.names:
-        return docs.withColumns({"__n_tokens": _tokens(), "__p": F.lit(None).cast("array<double>"), "__rate": F.lit(1.0), "__copies": F.lit(1)}), classifier
-    known = stored(docs.select(_tokens().alias("n_tokens"), classifier.posteriors().alias("p")), "mixing-posteriors")
-    history = fitted(known, classifier.names, TARGETS if targets is None else targets, most)
-    out = docs.withColumns({"__n_tokens": _tokens(), "__p": classifier.posteriors()})
-    r = rate(F.col("__p"), history, most)
-    u = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.lit("mixing")), F.lit(1 << 24)) / (1 << 24)
-    return out.withColumn("__rate", r).withColumn("__copies", F.floor(F.col("__rate") + u).cast("int")), classifier
-
-
 def mixing_rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None = None, most: float = 1.0) -> DataFrame:
     """doc_id, n_tokens, a posterior p_<domain> for each domain, rate and copies for each row."""
-    out, classifier = mixed(docs, domains, targets, most)
+    classifier = Classifier(docs.select("doc_id", "text"), domains)
+    slim = classifier.judged(docs.select("doc_id", "text")).drop("text") if classifier.names else None
+    if slim is None:
+        return docs.select("doc_id", _tokens().alias("n_tokens"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
+    known = stored(slim, "mixing-posteriors")
+    out = _rated(known, classifier, targets, most)
     return out.select(F.col("doc_id"), F.col("__n_tokens").alias("n_tokens"), *(F.col("__p")[k].alias(f"p_{d}") for k, d in enumerate(classifier.names)), F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
 
 
+def _rated(known: DataFrame, classifier: Classifier, targets: dict[str, float] | None, most: float) -> DataFrame:
+    history = fitted(known.select(F.col("__n_tokens").alias("n_tokens"), F.col("__p").alias("p")), classifier.names, TARGETS if targets is None else targets, most)
+    u = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.lit("mixing")), F.lit(1 << 24)) / (1 << 24)
+    return known.withColumn("__rate", rate(F.col("__p"), history, most)).withColumn("__copies", F.floor(F.col("__rate") + u).cast("int"))
+
+
 def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None = None, most: float = 1.0) -> DataFrame:
     """The rows of docs, each as often as its copies, with all their columns."""
-    out, _ = mixed(docs, domains, targets, most)
-    kept = out.where("__copies > 0")
-    if most >= 2:
+    classifier = Classifier(docs, domains)
+    if not classifier.names:
+        return docs
+    kept = _rated(stored(classifier.judged(docs), "mixing-posteriors"), classifier, targets, most).where("__copies > 0")
+    if most > 1:
         kept = kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return kept.select(*docs.columns)
