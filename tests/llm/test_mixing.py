@@ -8,7 +8,8 @@ from tidemark.llm import mixing
 
 @pytest.fixture(scope="module")
 def corpus(spark):
-    texts = [("fine plain words here number " + str(k)) if k % 4 else ("%%% junk### words&&& here " + str(k)) for k in range(400)]
+    many = " ".join(map(str, range(60)))
+    texts = [(f"fine plain words here {many}") if k % 4 else (f"%%% junk### words&&& here {many}") for k in range(400)]
     df = docs(spark, texts)
     labels = spark.createDataFrame([(k, int(k % 4 != 0), 0) for k in range(0, 400, 2)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
     return df, mixing.label_domains(labels)
