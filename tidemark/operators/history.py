@@ -65,7 +65,7 @@ def last_good(runs: DataFrame, before=None) -> DataFrame:
     good = runs.where(is_good())
     if before is not None:
         good = good.where(F.col("started_at") < before)
-    return good.groupBy("site_name").agg(F.min_by(F.struct("id", "status", "started_at"), F.struct(-F.unix_micros(F.col("started_at").cast("timestamp")), F.col("id"))).alias("r")).select("site_name", "r.*")
+    return good.groupBy("site_name").agg(F.min_by(F.struct("id", "status", "started_at"), F.struct(-F.unix_micros(F.col("started_at").cast("timestamp")), F.col("id"))).alias("r")).select("site_name", F.col("r.id").alias("id"), F.col("r.status").alias("status"), F.col("r.started_at").alias("started_at"))
 
 
 def with_last_good(runs: DataFrame) -> DataFrame:
