@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.schemas import GOOD
 
-DAY = F.expr("INTERVAL '24' HOUR")
+DAY = "INTERVAL '24' HOUR"
 
 
 def is_good() -> Column:
@@ -84,10 +84,10 @@ def failure_streak(runs: DataFrame) -> DataFrame:
     a good run or a gap of more than 24 hours ends the streak.
     """
     anchor = runs.groupBy("site_name").agg(F.max("started_at").alias("anchor"))
-    near = runs.join(anchor, "site_name").where(F.col("started_at") >= F.col("anchor") - DAY)
+    near = runs.join(anchor, "site_name").where(F.col("started_at") >= F.col("anchor") - F.expr(DAY))
     w = W.partitionBy("site_name").orderBy(F.col("started_at").desc(), F.col("id"))
     later = F.lag("started_at").over(w)
-    ends = later.isNotNull() & (F.col("status").isin(*GOOD) | (later - F.col("started_at") > DAY))
+    ends = later.isNotNull() & (F.col("status").isin(*GOOD) | (later - F.col("started_at") > F.expr(DAY)))
     marked = near.withColumn("ends", ends.cast("int"))
     open_ = F.sum("ends").over(w.rowsBetween(W.unboundedPreceding, 0))
     return marked.withColumn("ended", open_).groupBy("site_name").agg(F.count_if(F.col("ended") == 0).alias("streak"))

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-STALE = F.expr("INTERVAL '30' MINUTE")
+STALE = "INTERVAL '30' MINUTE"
 REPAIRABLE = ("myisam", "aria")
 EXIT_CODES = {"config": 2, "lock": 3, "not_found": 4}
 
 
 def lock_conflicts(locks: DataFrame, mine_exclusive: bool, now) -> DataFrame:
     """locks(id, exclusive, at, readable) with what each means to a new lock: ok, remove, conflict, stale_exclusive, invalid."""
-    stale = F.lit(now).cast("timestamp_ntz") - F.col("at").cast("timestamp_ntz") > STALE
+    stale = F.lit(now).cast("timestamp_ntz") - F.col("at").cast("timestamp_ntz") > F.expr(STALE)
     both_shared = ~F.col("exclusive") & F.lit(not mine_exclusive)
     meaning = F.when(~F.col("readable"), "invalid").when(both_shared, "ok").when(stale & F.col("exclusive"), "stale_exclusive").when(stale, "remove").otherwise("conflict")
     return locks.withColumn("meaning", meaning)
@@ -21,7 +21,7 @@ def lock_conflicts(locks: DataFrame, mine_exclusive: bool, now) -> DataFrame:
 
 def stale_locks(locks: DataFrame, now) -> DataFrame:
     """What an unlock removes: stale or unreadable locks of any kind."""
-    return locks.where(~F.col("readable") | (F.lit(now).cast("timestamp_ntz") - F.col("at").cast("timestamp_ntz") > STALE))
+    return locks.where(~F.col("readable") | (F.lit(now).cast("timestamp_ntz") - F.col("at").cast("timestamp_ntz") > F.expr(STALE)))
 
 
 def parse_checks(lines: DataFrame) -> DataFrame:
