@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from llm.samples import TEXTS, docs
 from tidemark.llm import shinglejoin
 
@@ -66,6 +68,16 @@ def test_against_brute_force(spark):
     assert len({r[2] for r in got}) < len(got) - 100
 
 
+def test_bitmaps_never_rule_out_too_much():
+    rnd = np.random.default_rng(2)
+    for n, m in ((1, 1), (5, 6), (60, 70), (500, 90), (3000, 2500)):
+        both = rnd.integers(0, 1 << 63, min(n, m) // 2).astype(np.uint64)
+        one, two = (np.concatenate([both, rnd.integers(0, 1 << 63, k - len(both)).astype(np.uint64)]) for k in (n, m))
+        only = n + m - 2 * len(both)
+        got = shinglejoin.differing(*(np.frombuffer(shinglejoin.bitmap(x), np.uint8) for x in (one, two)))
+        assert got <= only
+
+
 def test_empty_null_and_near_dedup(spark):
     assert shinglejoin.similar_groups(docs(spark, [])).count() == 0
     df = docs(spark, ["a b c d e f", "A b c d e f", None, "", "z"], [None, 5, 2, 3, 4])
