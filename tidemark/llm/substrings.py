@@ -38,7 +38,7 @@ from tidemark.llm.words import WordCache, digest64, mixed, raw, slices, split, s
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 #: Bytes of text in a chunk; bytes of text whose windows one hash range is planned for.
-CHUNK, RANGE = 8 << 20, 64 << 20
+CHUNK, RANGE = 2 << 20, 64 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -107,7 +107,7 @@ class Chunk:
 
 
 #: One cache for all chunks that a worker reads.
-_hashes = WordCache(digest64)
+_hashes = WordCache(digest64, 100_000)
 
 
 def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
