@@ -25,8 +25,8 @@ from tidemark.llm.words import WordCache, digest64, mixed, raw, slices, split, s
 BUCKETS = 1 << 16
 #: Labelled rows that the trusted target is counted from, at most: those with the smallest hashes of their id.
 TARGET_ROWS = 20_000
-#: Smoothing of both multinomials, as counts in each bucket.
-PRIOR = 1.0
+#: Smoothing, as counts in each bucket of the raw corpus; the target's is smaller by its share of all n-grams.
+PRIOR = 8.0
 #: The least mean log-likelihood ratio of a document that is kept.
 THRESHOLD = -0.1
 SYMBOLS = b"#*$%&|<>"
@@ -133,11 +133,17 @@ def likelihood_ratio(docs: DataFrame, labels: DataFrame, rows: int = TARGET_ROWS
     # the sample is at most `rows` numbers, so it may be broadcast
     flagged = docs.join(F.broadcast(trusted_ids(labels, rows)), docs["doc_id"] == F.col("trusted_id"), "left").select("text", F.col("trusted_id").isNotNull().alias("trusted"))
     model = flagged.mapInArrow(_counts, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    rawc, target = np.full(BUCKETS, PRIOR), np.full(BUCKETS, PRIOR)
-    rawc[model["bucket"]] += model["raw"]
-    target[model["bucket"]] += model["target"]
-    if not model["target"].sum():
+    rawc, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    rawc[model["bucket"]], target[model["bucket"]] = model["raw"], model["target"]
+    return ratio_of(rawc, target)
+
+
+def ratio_of(rawc: np.ndarray, target: np.ndarray) -> np.ndarray | None:
+    """From counts; where neither has an n-gram, or the target has its share, the ratio is 0 at every size of corpus."""
+    if not target.sum():
         return None
+    target = target + PRIOR * target.sum() / rawc.sum()
+    rawc = rawc + PRIOR
     return (np.log(target / target.sum()) - np.log(rawc / rawc.sum())).astype(np.float32)
 
 
