@@ -52,60 +52,83 @@ def vocabulary(model: str) -> dict[str, int]:
     return {p: i for i, p in enumerate(pieces)}
 
 
+@cache
+def prefixes(model: str) -> frozenset[str]:
+    """All beginnings of pieces: where none goes on, the search for longer ones ends."""
+    return frozenset(p[:k] for p in vocabulary(model) for k in range(1, len(p) + 1))
+
+
+#: Rows of a probability table ahead of the pieces: no piece, and a character outside the vocabulary.
+NONE, OUTSIDE, FIRST = 0, 1, 2
+
+
+def probabilities(logp: np.ndarray) -> np.ndarray:
+    """(rows, languages) of probabilities, from (languages, pieces) of their logarithms."""
+    p = np.exp(np.atleast_2d(np.asarray(logp, np.float64)))
+    return np.concatenate([np.zeros((len(p), 1)), np.full((len(p), 1), np.exp(UNKNOWN)), p], 1).T.copy()
+
+
 class Lattice:
-    """All pieces of a batch of words: for each start and length, the piece's number or -1."""
+    """All pieces of a batch of words: for each start and length, the piece's row in a probability table.
+
+    Sums stay far from the least double: a word has WORD + 1 characters at most, none less likely than UNKNOWN.
+    """
 
-    def __init__(self, words: list[str], pieces: dict[str, int]):
+    def __init__(self, words: list[str], model: str):
+        pieces, begins = vocabulary(model), prefixes(model)
         self.n, self.width = len(words), max(map(len, words), default=0)
         self.ends = np.fromiter(map(len, words), np.int64, self.n)
-        self.piece = np.full((self.width, LONGEST + 1, self.n), -1, np.int32)
-        get = pieces.get
+        at, rows = [], []
         for k, w in enumerate(words):
             size = len(w)
             for i in range(size):
-                for length in range(1, min(LONGEST, size - i) + 1):
-                    if (p := get(w[i : i + length])) is not None:
-                        self.piece[i, length, k] = p
-
-    def forward(self, logp: np.ndarray) -> np.ndarray:
-        """Log-sums over all segmentations of each prefix: (width + 1, words)."""
-        alpha = np.full((self.width + 1, self.n), -np.inf)
-        alpha[0] = 0
+                row = pieces.get(w[i])
+                at.append((i * (LONGEST + 1) + 1) * self.n + k)
+                rows.append(OUTSIDE if row is None else row + FIRST)
+                for stop in range(i + 2, min(i + LONGEST, size) + 1):
+                    s = w[i:stop]
+                    if s not in begins:
+                        break
+                    if (row := pieces.get(s)) is not None:
+                        at.append((i * (LONGEST + 1) + stop - i) * self.n + k)
+                        rows.append(row + FIRST)
+        flat = np.zeros(self.width * (LONGEST + 1) * self.n, np.int32)
+        flat[at] = rows
+        self.piece = flat.reshape(self.width, LONGEST + 1, self.n)
+        self.used = self.piece.any(2)
+
+    def forward(self, table: np.ndarray) -> np.ndarray:
+        """Sums over all segmentations of each prefix: (width + 1, words, languages)."""
+        alpha = np.zeros((self.width + 1, self.n, table.shape[1]))
+        alpha[0] = 1
         for j in range(1, self.width + 1):
-            terms = [alpha[j - length] + self._log(logp, j - length, length) for length in range(1, min(LONGEST, j) + 1)]
-            alpha[j] = np.logaddexp.reduce(terms)
+            for length in range(1, min(LONGEST, j) + 1):
+                if self.used[j - length, length]:
+                    alpha[j] += alpha[j - length] * table[self.piece[j - length, length]]
         return alpha
 
-    def backward(self, logp: np.ndarray) -> np.ndarray:
-        beta = np.full((self.width + 1, self.n), -np.inf)
-        beta[self.ends, np.arange(self.n)] = 0
+    def backward(self, table: np.ndarray) -> np.ndarray:
+        beta = np.zeros((self.width + 1, self.n, table.shape[1]))
+        beta[self.ends, np.arange(self.n)] = 1
         for i in range(self.width - 1, -1, -1):
-            inside = i < self.ends
-            terms = [beta[i + length] + self._log(logp, i, length) for length in range(1, min(LONGEST, self.width - i) + 1)]
-            beta[i] = np.where(inside, np.logaddexp.reduce(terms), beta[i])
+            for length in range(1, min(LONGEST, self.width - i) + 1):
+                if self.used[i, length]:
+                    beta[i] += beta[i + length] * table[self.piece[i, length]]
         return beta
 
-    def _log(self, logp: np.ndarray, i: int, length: int) -> np.ndarray:
-        p = self.piece[i, length]
-        missing = UNKNOWN if length == 1 else -np.inf
-        return np.where(p >= 0, logp[p], missing)
-
-    def total(self, logp: np.ndarray) -> np.ndarray:
-        return self.forward(logp)[self.ends, np.arange(self.n)]
+    def total(self, table: np.ndarray) -> np.ndarray:
+        """Log-likelihood of each word in each language."""
+        return np.log(self.forward(table)[self.ends, np.arange(self.n)])
 
-    def expected(self, logp: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Expected counts of the pieces over all segmentations of the words."""
-        alpha, beta = self.forward(logp), self.backward(logp)
-        total = alpha[self.ends, np.arange(self.n)]
-        out = np.zeros(len(logp))
-        for i in range(self.width):
-            for length in range(1, min(LONGEST, self.width - i) + 1):
-                p = self.piece[i, length]
-                use = np.flatnonzero(p >= 0)
-                if len(use):
-                    share = np.exp(alpha[i, use] + logp[p[use]] + beta[i + length, use] - total[use])
-                    out += np.bincount(p[use], share * weights[use], len(logp))
-        return out
+    def expected(self, table: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Expected counts of the pieces of one language over all segmentations of the words."""
+        alpha, beta = self.forward(table)[:, :, 0], self.backward(table)[:, :, 0]
+        share = weights / alpha[self.ends, np.arange(self.n)]
+        out = np.zeros(len(table))
+        for i, length in zip(*np.nonzero(self.used), strict=True):
+            p = self.piece[i, length]
+            out += np.bincount(p, alpha[i] * table[p, 0] * beta[i + length] * share, len(table))
+        return out[FIRST:]
 
 
 def letters(word: bytes) -> list[str]:
@@ -130,34 +153,39 @@ def train(words: dict[str, dict[str, int]], model: str = VOCABULARY, rounds: int
     for n, lang in enumerate(langs):
         own = sorted(words[lang])
         weights = np.array([words[lang][w] for w in own], float)
-        lattices = [(Lattice([own[i] for i in at], pieces), weights[at]) for at in by_length(own)]
+        lattices = [(Lattice([own[i] for i in at], model), weights[at]) for at in by_length(own)]
         # longer pieces start likelier, as in a unigram vocabulary's first guess
         logp = np.full(len(pieces), -np.log(len(pieces)))
         for _ in range(rounds):
-            counts = PRIOR + sum((x.expected(logp, w) for x, w in lattices), np.zeros(len(pieces)))
+            table = probabilities(logp)
+            counts = PRIOR + sum((x.expected(table, w) for x, w in lattices), np.zeros(len(pieces)))
             logp = np.log(counts / counts.sum())
         out[n] = logp
     return langs, out
 
 
 def _measure(langs: list[str], logp: np.ndarray, model: str):
-    pieces = vocabulary(model)
+    table = probabilities(logp)
+
+    def score(runs: list[bytes]) -> np.ndarray:
+        words = [r.decode() for r in runs]
+        out = np.zeros((len(words), len(langs)))
+        for at in by_length(words):
+            out[at] = Lattice([words[i] for i in at], model).total(table)
+        return out
+
+    scored = WordCache(score)
 
     def run(words: list[bytes]) -> np.ndarray:
         """For each word: how many runs of letters it has, and their log-likelihood by language."""
         runs = [letters(w) for w in words]
-        flat = [r for x in runs for r in x]
-        unique = list(dict.fromkeys(flat))
-        scores = np.zeros((len(unique), len(langs)))
-        for at in by_length(unique):
-            lattice = Lattice([unique[i] for i in at], pieces)
-            scores[at] = np.stack([lattice.total(p) for p in logp], 1)
-        number = {w: i for i, w in enumerate(unique)}
-        each = np.zeros((len(flat), len(langs) + 1))
-        each[:, 0] = 1
-        each[:, 1:] = scores[[number[r] for r in flat]] if flat else 0
+        flat = [r.encode() for x in runs for r in x]
+        each = np.ones((len(flat) + 1, len(langs) + 1))
+        each[0] = 0
+        if flat:
+            each[1:, 1:] = scored(flat)
+        total = np.cumsum(each, 0)
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in runs])]).astype(np.int64)
-        total = np.concatenate([np.zeros((1, len(langs) + 1)), np.cumsum(each, 0)])
         return total[bounds[1:]] - total[bounds[:-1]]
 
     return run
