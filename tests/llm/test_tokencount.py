@@ -13,6 +13,21 @@ def test_parts_add_up_to_the_whole_text():
         assert sum(len(sp.encode(p.decode())) for p in parts) == len(sp.encode(text)), repr(text)
 
 
+def test_spans_add_up_to_the_whole_text():
+    sp = tokencount.processor(tokencount.MODEL)
+    rnd = random.Random(9)
+    for _ in range(800):
+        text = "".join(rnd.choice(["a", "the", " ", " ", "  ", "\n", "▁", "é", "ing "]) for _ in range(rnd.randrange(60)))
+        cut = tokencount.spans(text.encode(), 10)
+        assert sum(len(sp.encode(p.decode())) for x in cut for p in tokencount.parts(x)) == len(sp.encode(text)), repr(text)
+
+
+def test_very_long_text(spark):
+    text = "of the  house " * 150_000
+    (row,) = tokencount.token_counts(docs(spark, [text])).collect()
+    assert row.n_tokens == len(tokencount.processor(tokencount.MODEL).encode(text))
+
+
 def test_counts_equal_the_library(spark):
     sp = tokencount.processor(tokencount.MODEL)
     got = {r.doc_id: r for r in tokencount.token_counts(docs(spark), limit=100).collect()}

@@ -22,6 +22,8 @@ from tidemark.llm.words import WordCache, raw, slices, sums
 
 SPACE = "▁".encode()
 MODEL = "piece_bpe_32k.model"
+#: Bytes of a text that are split and encoded at a time.
+SPAN = 1 << 20
 
 
 class UnsafeVocabulary(ValueError):
@@ -68,16 +70,36 @@ def parts(text: bytes) -> list[bytes]:
     return whole
 
 
+def spans(text: bytes, size: int | None = None) -> list[bytes]:
+    """Stretches of a long text of about `size` bytes, whose counts add up to the text's.
+
+    Each but the first drops the space that it starts with, which its encoding puts in front again; cuts are
+    made before a space that follows no space.  A run without such a place stays whole.
+    """
+    size, out, start = size or SPAN, [], 0
+    while len(text) - start > size:
+        cut = text.find(b" ", start + size)
+        while cut >= 0 and (text[cut - 1 : cut] == b" " or text[cut - len(SPACE) : cut] == SPACE or cut + 1 == len(text)):
+            cut = text.find(b" ", cut + 1)
+        if cut < 0:
+            break
+        out.append(text[start:cut])
+        start = cut + 1
+    return [*out, text[start:]]
+
+
 def _count(model: str, limit: int):
     def run(batches):
         sp = processor(model)
         cached = WordCache(lambda words: np.fromiter(map(len, sp.encode([w.decode() for w in words], num_threads=1)), np.int64, len(words)))
         for batch in slices(batches):
             texts = raw(batch)
-            split = [parts(x) for x in texts]
-            bounds = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
-            lengths = cached([p for x in split for p in x])
-            n = sums(lengths, bounds)
+            if len(texts) == 1 and len(texts[0]) > SPAN:
+                n = np.array([sum(int(cached(parts(x)).sum()) for x in spans(texts[0]))], np.int64)
+            else:
+                split = [parts(x) for x in texts]
+                bounds = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
+                n = sums(cached([p for x in split for p in x]), bounds)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(x) for x in texts], pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
