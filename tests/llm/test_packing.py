@@ -21,6 +21,15 @@ def test_encoder_equals_the_library():
             assert a == b.tolist(), repr(t)
 
 
+def test_stretches_of_a_very_long_text(monkeypatch):
+    encoder = packing.Encoder()
+    text = ("The quick, brown fox's  tail\n" * 400).encode()
+    (want,) = encoder([text])
+    monkeypatch.setattr(packing, "STRETCH", 100)
+    (got,) = encoder([text])
+    assert got.tolist() == want.tolist()
+
+
 def contract(rows, texts, ids, length):
     library = packing.Encoder().library
     by_doc, by_sequence = defaultdict(list), defaultdict(list)

@@ -27,13 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import raw, slices, split
+from tidemark.llm.words import raw, slices, split, stretches
 
 TOKENIZER = "word_bpe_49k.json"
 #: Tokens of a sequence, of a window, and the id that closes a document.
 LENGTH, WINDOW, CLOSING = 4096, 1 << 21, 2
 #: Cost of a token, and of a pair of tokens that attend to each other.
 LINEAR, QUADRATIC = 1.0, 1 / 2048
+#: Bytes of a very long text that are split into words at a time.
+STRETCH = 1 << 20
 #: Words that the cache holds before it is emptied.
 CACHE = 250_000
 #: A word that is one run of letters, perhaps followed by punctuation, all of them whole characters in any normal form.
@@ -96,6 +98,8 @@ class Encoder:
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """Each text's ids, as the library gives them for the whole text."""
+        if len(texts) == 1 and len(texts[0]) > 2 * STRETCH:
+            return [np.concatenate([self([x])[0] for x in stretches(texts[0], STRETCH)])]
         if len(self.index) > self.limit:
             self._clear()
         words, bounds = split(texts)

@@ -50,6 +50,18 @@ def split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return words, bounds
 
 
+def stretches(text: bytes, size: int) -> Iterator[bytes]:
+    """A text in pieces of about `size` bytes, cut at white space only."""
+    start = 0
+    while len(text) - start > size:
+        end = start + size
+        while end < len(text) and not text[end : end + 1].isspace():
+            end += 1
+        yield text[start:end]
+        start = end
+    yield text[start:]
+
+
 def digest64(words: Iterable[bytes]) -> np.ndarray:
     """64-bit hashes, the same on every machine."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64)
