@@ -15,14 +15,17 @@ SHORT_DATE = r"^(\d{4}-\d{2}-\d{2})$"
 LOCAL_TIME, UTC_TIME = r"^(\d{2}\.\d{2}\.\d{2})", r"^(\d{2}-\d{2}-\d{2})"
 
 
-def _date(text: Column) -> Column:
-    """A date in one of the two forms, and only if it is written the canonical way; null otherwise."""
-    long = F.expr("try_to_timestamp(__date, 'dd-MMMM-yyyy')")
-    short = F.expr("try_to_timestamp(__date, 'yyyy-MM-dd')")
-    return (
-        F.when(text.rlike(LONG_DATE) & (F.date_format(long, "dd-MMMM-yyyy") == text), long)
-        .when(text.rlike(SHORT_DATE) & (F.date_format(short, "yyyy-MM-dd") == text), short)
+def _dated(df: DataFrame) -> DataFrame:
+    """df(__date) with __day: a date in one of the two forms, and only if it is written the canonical way; null otherwise.
+
+    Each step is a column of its own, so that generated code stays small.
+    """
+    out = df.withColumns({"__long": F.expr("try_to_timestamp(__date, 'dd-MMMM-yyyy')"), "__short": F.expr("try_to_timestamp(__date, 'yyyy-MM-dd')")})
+    day = (
+        F.when(F.col("__date").rlike(LONG_DATE) & (F.date_format("__long", "dd-MMMM-yyyy") == F.col("__date")), F.col("__long"))
+        .when(F.col("__date").rlike(SHORT_DATE) & (F.date_format("__short", "yyyy-MM-dd") == F.col("__date")), F.col("__short"))
     )
+    return out.withColumn("__day", day.cast("timestamp_ntz")).drop("__long", "__short")
 
 
 def _seconds(time: Column) -> Column:
@@ -41,12 +44,13 @@ def parse_packages(objects: DataFrame, zone: str = "UTC") -> DataFrame:
     dotted = F.col("__name").rlike(LOCAL_TIME.rstrip(")") + r")-")
     dashed = F.col("__name").rlike(UTC_TIME + "-")
     time = F.substring("__name", 1, 8)
-    out = out.withColumn("__day", _date(F.col("__date"))).withColumn("__time", F.when(dotted | dashed, _seconds(time)))
-    at = F.col("__day").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("__time").cast("decimal(18,6)"))
+    out = _dated(out).withColumns({"__dotted": dotted, "__dashed": dashed, "__time": _seconds(time)})
+    dotted, dashed = F.col("__dotted"), F.col("__dashed")
+    at = F.col("__day") + F.make_dt_interval(secs=F.col("__time").cast("decimal(18,6)"))
     at = F.when(dotted & F.col("__date").rlike(LONG_DATE), F.convert_timezone(F.lit(zone), F.lit("UTC"), at)).when(dashed, at)
     rest = F.substring("__name", 10, 1 << 30)
     run = F.when(F.instr(rest, "-") > 0, F.concat(F.substring("__name", 1, 9), F.substring_index(rest, "-", 1))).otherwise(F.substring("__name", 1, 8))
-    return out.withColumn("created_at", at).withColumn("set_key", F.when(F.col("created_at").isNotNull(), F.concat_ws("/", "__date", run))).drop("__date", "__name", "__day", "__time")
+    return out.withColumn("created_at", at).withColumn("set_key", F.when(F.col("created_at").isNotNull(), F.concat_ws("/", "__date", run))).drop("__date", "__name", "__day", "__time", "__dotted", "__dashed")
 
 
 def parse_set(sets: DataFrame, zone: str = "UTC") -> DataFrame:
@@ -54,8 +58,8 @@ def parse_set(sets: DataFrame, zone: str = "UTC") -> DataFrame:
     parts = F.split("set_key", "/")
     out = sets.withColumn("__date", F.element_at(parts, 1)).withColumn("__time", F.when(F.size(parts) == 2, F.element_at(parts, 2)))
     body, tail = F.substring("__time", 1, 8), F.substring("__time", 9, 1 << 30)
-    day = _date(F.col("__date")).cast("timestamp_ntz")
-    at = day + F.make_dt_interval(secs=_seconds(body).cast("decimal(18,6)"))
+    out = _dated(out)
+    at = F.col("__day") + F.make_dt_interval(secs=_seconds(body).cast("decimal(18,6)"))
     dotted = F.col("__time").rlike(LOCAL_TIME + "(-|$)") & F.col("__date").rlike(LONG_DATE)
     dashed = F.col("__time").rlike(UTC_TIME + "(-.*)?$")
     fraction = F.col("__time").rlike(UTC_TIME + r"\.\d{9}$") & F.col("__date").rlike(LONG_DATE)
@@ -70,7 +74,7 @@ def parse_set(sets: DataFrame, zone: str = "UTC") -> DataFrame:
         .when(fraction, at + nanos)
         .when(dashed & whole, at)
     )
-    return out.withColumn("created_at", found).drop("__date", "__time")
+    return out.withColumn("created_at", found).drop("__date", "__time", "__day")
 
 
 def format_key(created_at: Column, name: Column, run_id: Column | None, zone: str) -> Column:
