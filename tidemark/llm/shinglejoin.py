@@ -10,9 +10,12 @@ A document's set is its distinct SHINGLE-word shingles in lower case; equal sets
   just below the boundary stand as well, since those may be similar to heavy ones.
 * **Boundary.** The largest size at which the number of 2-subsets does not exceed the entries that a
   scan of the prefix's lists is expected to touch, by the sketch.
-* **Pairs.** Short lists give all their pairs, long ones the pairs with a few hubs, which are verified
-  by whole sets.  What is still in different components after that gives all its pairs across
-  components, so no link is lost, while copies of one text never give all pairs.
+* **Pairs.** Short lists give all their pairs, long ones choose hubs, and each set is paired with a few hubs
+  of its lists.  A pair needs a list in which both have enough elements left to reach the similarity
+  (positions in the order tell that of their first common element).  Parity bitmaps of the
+  sets, which differ in no more bits than the sets differ in elements, rule out most pairs; the rest
+  is verified by whole sets.  What is still in different components after that gives all its pairs
+  across components, so no link is lost, while copies of one text never give all pairs.
 
 Set elements are 64-bit hashes (48 bits where two sets are compared), as are the nodes' names.
 
@@ -40,10 +43,11 @@ SHINGLE = 5
 #: Similarity in percent.
 LEAST = 80
 #: Counters of the sketch, and how many of them go in one row.
-SKETCH, BLOCK = 1 << 18, 1 << 13
-#: Lists up to this length give all pairs; hubs of longer ones; the largest set that may be light.
-SHORT, HUBS, LIGHT = 6, 3, 100
-_lower = WordCache(lambda words: digest64(w.lower() for w in words))
+SKETCH_BITS, BLOCK = 21, 1 << 15
+SKETCH = 1 << SKETCH_BITS
+#: Lists up to this length give all pairs; hubs that longer ones have; the largest set that may be light.
+SHORT, HUBS, LIGHT = 6, 2, 100
+_lower = WordCache(lambda words: digest64(w.lower() for w in words), 100_000)
 
 
 def needed(n):
@@ -84,27 +88,49 @@ class Sets:
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - 18)).astype(np.int64)
+    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _summary(batches):
-    """doc_id, n_shingles and name of each document."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            s = Sets(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s.ids, pa.int64(), mask=s.nulls), pa.array(s.sizes, pa.int64()), pa.array(s.names, pa.int64(), mask=s.sizes == 0)], names=["doc_id", "n_shingles", "name"]
-            )
+def bits_of(n: int) -> int:
+    """Bits of a set's bitmap: a power of two, about as many as elements."""
+    return min(1 << 15, max(64, 1 << int(n - 1).bit_length()))
+
+
+def bitmap(hashes: np.ndarray) -> bytes:
+    """For each place, whether an odd number of elements falls on it."""
+    size = bits_of(len(hashes))
+    return np.packbits(np.bincount((hashes % np.uint64(size)).astype(np.int64), minlength=size) & 1 == 1, bitorder="little").tobytes()
 
 
-def _sketch(batches):
+def differing(one: np.ndarray, two: np.ndarray) -> int:
+    """Bits in which two bitmaps differ, the longer one folded: never more than elements that only one set has."""
+    while len(one) > len(two):
+        one = one[: len(one) // 2] ^ one[len(one) // 2 :]
+    while len(two) > len(one):
+        two = two[: len(two) // 2] ^ two[len(two) // 2 :]
+    return int(np.bitwise_count(one ^ two).sum())
+
+
+def _summary(batches):
+    """doc_id, n_shingles, name, chunk and bitmap of each document; the task's sketch in rows of block -1 - n_shingles."""
     counts = np.zeros(SKETCH, np.int64)
     for batch in batches:
         for row in batch.to_pylist():
-            counts += np.bincount(_bucket(Sets(row).hashes), minlength=SKETCH)
+            s = Sets(row)
+            counts += np.bincount(_bucket(s.hashes), minlength=SKETCH)
+            maps = [bitmap(s.hashes[a:b]) if b > a else None for a, b in zip(s.bounds[:-1], s.bounds[1:], strict=True)]
+            yield _row(pa.array(s.ids, pa.int64(), mask=s.nulls), s.sizes, pa.array(s.names, pa.int64(), mask=s.sizes == 0), [row["chunk"]] * len(maps), maps)
     if counts.any():
         blocks = counts.reshape(-1, BLOCK)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([packed(b) for b in blocks])], names=["block", "counts"])
+        yield _row([None] * len(blocks), [-1 - k for k in range(len(blocks))], [None] * len(blocks), [None] * len(blocks), [packed(b) for b in blocks])
+
+
+def _row(*columns) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_shingles", "name", "chunk", "bitmap"])
+
+
+SUMMARY = "doc_id long, n_shingles long, name long, chunk long, bitmap binary"
 
 
 def _added(batches):
@@ -112,16 +138,15 @@ def _added(batches):
     for batch in batches:
         for k, b in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
             blocks[k] = blocks.get(k, 0) + unpacked(b, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array([packed(b) for b in blocks.values()], pa.binary())], names=["block", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([packed(b) for b in blocks.values()], pa.binary())], names=["block", "counts"])
 
 
-def sketch(chunks: DataFrame) -> np.ndarray:
+def sketch(summary: DataFrame) -> np.ndarray:
     """Counts of all shingles in SKETCH counters, whatever the number of documents."""
-    kind = "block int, counts binary"
     out = np.zeros((SKETCH // BLOCK, BLOCK), np.int64)
-    for row in chunks.mapInArrow(_sketch, kind).repartition("block").mapInArrow(_added, kind).toLocalIterator():
+    own = summary.where("n_shingles < 0").select((-1 - F.col("n_shingles")).alias("block"), F.col("bitmap").alias("counts"))
+    for row in own.repartition("block").mapInArrow(_added, "block long, counts binary").toLocalIterator():
         out[row["block"]] += unpacked(row["counts"], np.int64)
-    # an order is all that is needed: the logarithm in steps keeps the table small
     return out.ravel()
 
 
@@ -139,7 +164,7 @@ def boundary(counts: np.ndarray) -> int:
     return int(fits.max()) if len(fits) else 0
 
 
-ENTRY = "part int, chunk long, keys binary, names binary, sizes binary"
+ENTRY = "part int, keys binary, names binary, sizes binary, slack binary"
 
 
 def _send(order: np.ndarray, light: int, parts: int):
@@ -147,7 +172,7 @@ def _send(order: np.ndarray, light: int, parts: int):
         for batch in batches:
             for row in batch.to_pylist():
                 s = Sets(row)
-                keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                keys, docs, slack = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for k in s.distinct():
                     n = int(s.sizes[k])
                     if n < 2:
@@ -162,49 +187,60 @@ def _send(order: np.ndarray, light: int, parts: int):
                         with np.errstate(over="ignore"):
                             keys.append(mixed(mixed(a) * np.uint64(3) + b))
                         docs.append(np.full(len(i), k))
+                        slack.append(n - j + 1)
                     if n > light or n / LEAST * 100 > light:
                         keys.append(own[: rare + 1])
                         docs.append(np.full(rare + 1, k))
-                key, doc = np.concatenate(keys), np.concatenate(docs)
+                        slack.append(n - np.arange(rare + 1))
+                key, doc, most = np.concatenate(keys), np.concatenate(docs), np.concatenate(slack).astype(np.int64)
                 g = Grouped(np.arange(len(key)), key, parts, key)
                 at = np.repeat(g.part, g.count)
                 for p in np.unique(at):
                     i = g.at[at == p]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(p)], pa.int32()), pa.array([row["chunk"]], pa.int64()), pa.array([packed(key[i])]), pa.array([packed(s.names[doc[i]])]), pa.array([packed(s.sizes[doc[i]].astype(np.int64))])],
-                        names=["part", "chunk", "keys", "names", "sizes"],
+                        [pa.array([int(p)], pa.int32()), *(pa.array([packed(x)]) for x in (key[i], s.names[doc[i]], s.sizes[doc[i]].astype(np.int64), most[i]))],
+                        names=["part", "keys", "names", "sizes", "slack"],
                     )
 
     return run
 
 
-LIST = "list long, name long, size long, chunk long"
+LIST = "list long, name long, size long, slack long"
 
 
 def _lists(table: pa.Table) -> pa.Table:
-    """Lists of two or more different sets; equal lists once."""
-    rows = [(r["chunk"], unpacked(r["keys"]), unpacked(r["names"], np.int64), unpacked(r["sizes"], np.int64)) for r in table.to_pylist()]
-    key, name, size = (np.concatenate([r[k] for r in rows]) for k in (1, 2, 3))
-    chunk = np.repeat(np.array([r[0] for r in rows]), [len(r[1]) for r in rows])
+    """Lists of two or more different sets that may be similar by their sizes; equal lists once.
+
+    slack: elements that a set shares with another of the list at most, if the list's key is the first that
+    they share; of equal lists the largest counts.
+    """
+    rows = [(unpacked(r["keys"]), *(unpacked(r[c], np.int64) for c in ("names", "sizes", "slack"))) for r in table.to_pylist()]
+    key, name, size, slack = (np.concatenate([r[k] for r in rows]) for k in range(4))
     # keys that occur once are most of all: they go first
     order = np.argsort(key, kind="stable")
     k = key[order]
     same = k[1:] == k[:-1]
     order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-    key, name, size, chunk = key[order], name[order], size[order], chunk[order]
-    order = np.lexsort((chunk, name, key))
-    key, name, size, chunk = key[order], name[order], size[order], chunk[order]
+    key, name, size, slack = key[order], name[order], size[order], slack[order]
+    order = np.lexsort((name, size, key))
+    key, name, size, slack = key[order], name[order], size[order], slack[order]
+    # a name has one slack for each key
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])]) if len(key) else np.zeros(0, bool)
-    key, name, size, chunk = key[new], name[new], size[new], chunk[new]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    key, name, size, slack = key[new], name[new], size[new], slack[new]
+    # by size, a list falls apart where the next one is too large for the one before; parts are lists of their own
+    apart = (key[1:] != key[:-1]) | (100 * size[:-1] < LEAST * size[1:])
+    first = np.flatnonzero(np.concatenate([[True], apart])) if len(key) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(key)))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(name.view(np.uint64)), dtype=np.uint64)])
     with np.errstate(over="ignore"):
         label = mixed(total[first + count] - total[first] + count.astype(np.uint64)).view(np.int64) if len(first) else np.zeros(0, np.int64)
-    once = np.zeros(len(first), bool)
-    once[np.unique(label, return_index=True)[1]] = True
-    keep = np.repeat(once & (count > 1), count)
-    return pa.table({"list": np.repeat(label, count)[keep], "name": name[keep], "size": size[keep], "chunk": chunk[keep]})
+    keep = np.repeat(count > 1, count)
+    label, name, size, slack = np.repeat(label, count)[keep], name[keep], size[keep], slack[keep]
+    order = np.lexsort((name, label))
+    label, name, size, slack = label[order], name[order], size[order], slack[order]
+    first = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (name[1:] != name[:-1])])) if len(label) else np.zeros(0, np.int64)
+    best = np.maximum.reduceat(slack, first) if len(first) else slack
+    return pa.table({"list": label[first], "name": name[first], "size": size[first], "slack": best})
 
 
 def _needed_sets(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -234,49 +270,79 @@ def _similar(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    one, two = sets.select(F.col("name").alias("a"), F.col("elements").alias("one")), sets.select(F.col("name").alias("b"), F.col("elements").alias("two"))
-    return pairs.join(two, "b").join(one, "a").mapInArrow(_similar, "a long, b long")
+def _possible(batches):
+    """Pairs whose bitmaps don't rule them out."""
+    for batch in batches:
+        keep = np.zeros(batch.num_rows, bool)
+        columns = (batch.column(c).to_pylist() for c in ("one", "two", "n", "m"))
+        for k, (x, y, n, m) in enumerate(zip(*columns, strict=True)):
+            shared = -(-LEAST * (n + m) // (100 + LEAST))
+            keep[k] = differing(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= n + m - 2 * shared
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The similar ones of pairs(a, b): by bitmaps first, then by whole sets, which are read for the rest only.
+
+    sets has a row for each name: size, chunk, bitmap.
+    """
+    side = lambda a, column, n: sets.select(F.col("name").alias(a), F.col("bitmap").alias(column), F.col("size").alias(n))
+    possible = stored(pairs.join(side("b", "two", "m"), "b").join(side("a", "one", "n"), "a").mapInArrow(_possible, "a long, b long"), "shingle-pairs")
+    if possible.isEmpty():
+        return possible
+    wanted = possible.select(F.explode(F.array("a", "b")).alias("name")).distinct().join(sets.select("name", "chunk"), "name")
+    whole = stored(chunks.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(_needed_sets, "name long, elements binary"), "shingle-sets")
+    one, two = whole.select(F.col("name").alias("a"), F.col("elements").alias("one")), whole.select(F.col("name").alias("b"), F.col("elements").alias("two"))
+    return possible.join(two, "b").join(one, "a").mapInArrow(_similar, "a long, b long")
 
 
 def _pairs(lists: DataFrame) -> DataFrame:
-    """All pairs of short lists; of long ones, those with HUBS members that hashes choose."""
-    hubs = lists.groupBy("list").agg(
-        F.count("*").alias("n"), *(F.min_by(F.struct("name", "size"), F.struct(F.xxhash64("name", F.lit(k)), "name")).alias(f"hub{k}") for k in range(HUBS))
-    )
-    long = lists.join(hubs.where(F.col("n") > SHORT), "list").select("name", "size", F.explode(F.array(*(f"hub{k}" for k in range(HUBS)))).alias("hub"))
-    few = lists.join(hubs.where(F.col("n") <= SHORT).select("list"), "list")
-    short = few.join(few.select("list", F.struct("name", "size").alias("hub")), "list")
-    return _ordered(long.unionByName(short.select("name", "size", "hub")))
+    """All pairs of short lists; of long ones, each set with a few of its lists' hubs, which hashes choose."""
+    own = F.struct("name", "size", "slack")
+    sizes = lists.groupBy("list").agg(F.count("*").alias("n"), *(F.min(F.struct(F.xxhash64("name", F.lit(k)).alias("h"), "name", "size", "slack")).alias(f"hub{k}") for k in range(HUBS)))
+    long = lists.join(sizes.where(F.col("n") > SHORT), "list")
+    # of all hubs of its lists a set keeps the two whose hashes are least and most: the rest is left to the last step
+    ends = long.groupBy("name", "size").agg(F.max("slack").alias("slack"), *(f(f"hub{k}").alias(f"{f.__name__}{k}") for k in range(HUBS) for f in (F.min, F.max)))
+    star = ends.select("name", "size", F.explode(F.array(*(f"{f}{k}" for k in range(HUBS) for f in ("min", "max")))).alias("hub"))
+    few = lists.join(sizes.where(F.col("n") <= SHORT).select("list"), "list")
+    short = few.join(few.select("list", own.alias("hub")), "list").where(_within())
+    return _ordered(star.select("name", "size", "hub.name", "hub.size").toDF("name", "size", "other", "other_size").unionByName(short.select("name", "size", F.col("hub.name").alias("other"), F.col("hub.size").alias("other_size"))))
+
+
+def _within():
+    """Whether a row and its hub may reach the similarity by their sizes and what is left of them."""
+    low, high = F.least(F.col("size"), F.col("hub.size")), F.greatest(F.col("size"), F.col("hub.size"))
+    return (F.col("name") != F.col("hub.name")) & (100 * low >= LEAST * high) & ((100 + LEAST) * F.least(F.col("slack"), F.col("hub.slack")) >= LEAST * (low + high))
 
 
 def _ordered(found: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) whose sizes allow the similarity."""
-    low, high = F.least(F.col("size"), F.col("hub.size")), F.greatest(F.col("size"), F.col("hub.size"))
-    return found.where((F.col("name") != F.col("hub.name")) & (100 * low >= LEAST * high)).select(F.least("name", "hub.name").alias("a"), F.greatest("name", "hub.name").alias("b")).distinct()
+    """Distinct pairs (a < b) of found(name, size, other, other_size) whose sizes allow the similarity."""
+    low, high = F.least("size", "other_size"), F.greatest("size", "other_size")
+    return found.where((F.col("name") != F.col("other")) & (100 * low >= LEAST * high)).select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
 
 
-def links(chunks: DataFrame, parts: int) -> DataFrame:
-    """node, root over the names of sets that have a similar, different set."""
-    counts = sketch(chunks)
+def links(chunks: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
+    """node, root over the names of sets that have a similar, different set; rows as _summary gives them."""
+    counts = sketch(rows)
     light = boundary(counts)
-    # 16 steps for each doubling order all that matters and fit one byte
+    # 16 steps for each doubling order all that matters
     order = np.round(16 * np.log2(np.maximum(counts, 1))).astype(np.int16)
     entries = chunks.mapInArrow(_send(order, light, parts), ENTRY)
-    lists = stored(entries.groupBy("part").applyInArrow(_lists, LIST).dropDuplicates(["list", "name"]), "shingle-lists")
-    wanted = lists.groupBy("name").agg(F.min("chunk").alias("chunk"))
-    sets = stored(chunks.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(_needed_sets, "name long, elements binary"), "shingle-sets")
-    edges = stored(_verified(_pairs(lists), sets), "shingle-links")
+    lists = stored(entries.groupBy("part").applyInArrow(_lists, LIST).groupBy("list", "name", "size").agg(F.max("slack").alias("slack")), "shingle-lists")
+    # one row for each set, wherever it stands first
+    sets = rows.where("name IS NOT NULL").groupBy("name").agg(F.min("n_shingles").alias("size"), F.min("chunk").alias("chunk"), F.min("bitmap").alias("bitmap"))
+    edges = stored(_verified(_pairs(lists), sets, chunks), "shingle-links")
     roots = components(edges)
     # what is still apart: all pairs of a list's members across components, save those that were tested
-    placed = lists.select("list", "name", "size").join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    placed = lists.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     open_ = placed.groupBy("list").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.mode("root", True).alias("most")).where((F.col("n") > SHORT) & (F.col("low") != F.col("high")))
     members = stored(placed.join(open_.select("list", "most"), "list"), "shingle-open")
     if members.isEmpty():
         return roots
-    apart = members.where("root <> most").select("list", F.col("root").alias("other"), F.struct("name", "size").alias("hub"))
-    more = members.join(apart, "list").where("root <> other").select("name", "size", "hub")
-    return components(edges.unionByName(_verified(_ordered(more), sets)))
+    apart = members.where("root <> most").select("list", F.col("root").alias("other_root"), F.struct("name", "size", "slack").alias("hub"))
+    more = members.join(apart, "list").where((F.col("root") != F.col("other_root")) & _within()).select("name", "size", F.col("hub.name").alias("other"), F.col("hub.size").alias("other_size"))
+    found = stored(_verified(_ordered(more), sets, chunks), "shingle-links")
+    return roots if found.isEmpty() else components(edges.unionByName(found))
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -286,8 +352,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     chunks = stored(docs.mapInArrow(substrings._chunked, substrings.CHUNKS), "shingle-chunks")
     total = chunks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // substrings.RANGE))
-    rows = stored(chunks.mapInArrow(_summary, "doc_id long, n_shingles long, name long"), "shingle-rows")
-    roots = links(chunks, parts)
+    summary = stored(chunks.mapInArrow(_summary, SUMMARY), "shingle-rows")
+    roots = links(chunks, summary, parts)
+    rows = summary.where("n_shingles >= 0")
     own = rows.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("least"))
     placed = own.join(roots, own["name"] == roots["node"], "left").select("name", "least", F.coalesce("root", "name").alias("root"))
     groups = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("name", "component_id")
