@@ -36,8 +36,8 @@ LENGTH, WINDOW, CLOSING = 4096, 1 << 21, 2
 LINEAR, QUADRATIC = 1.0, 1 / 2048
 #: Bytes of a very long text that are split into words at a time.
 STRETCH = 1 << 20
-#: Words that the cache holds before it is emptied.
-CACHE = 250_000
+#: Words that the cache holds before it is emptied, and runs of letters and the like that outlast it.
+CACHE, RUNS = 400_000, 500_000
 #: A word that is one run of letters, perhaps followed by punctuation, all of them whole characters in any normal form.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
 
@@ -63,11 +63,13 @@ class Encoder:
     def __init__(self, tokenizer: str = TOKENIZER, limit: int = CACHE):
         self.library, self.ends = _library(tokenizer)
         self.limit = limit
+        self.runs: dict[str, list[int]] = {}
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.runs: dict[str, list[int]] = {}
+        if len(self.runs) > RUNS:
+            self.runs = {}
         self.pool, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _each(self, texts: list[str]) -> list[list[int]]:
