@@ -60,3 +60,36 @@ def test_without_labels_and_empty(spark, corpus):
     assert mixing.mix(docs(spark, []), domains).count() == 0
     odd = mixing.mixing_rates(df.unionByName(docs(spark, [None, ""], [None, 5000])), domains).where("n_tokens = 0").collect()
     assert len(odd) == 2 and all(0 <= r.rate <= 1 for r in odd)
+
+
+def test_shares_are_reached_with_soft_posteriors(spark):
+    rnd = np.random.default_rng(7)
+    true = rnd.choice(3, 2000, p=[0.7, 0.15, 0.15])
+    p = np.array([rnd.dirichlet(np.where(np.arange(3) == k, 3.0, 0.3)) for k in true])
+    t = rnd.integers(1, 900, 2000)
+    known = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p, strict=True)], "n_tokens long, p array<double>")
+    for goals in ({"clean": 0.92, "low": 0.06, "toxic": 0.02}, {"clean": 0.6, "low": 0.35, "toxic": 0.05}):
+        history, scarce, misfit = mixing.balanced(known, ["clean", "low", "toxic"], goals)
+        r = np.array([x.r for x in known.select(mixing.rate(F.col("p"), history, mixing.limit(F.col("p"), scarce, mixing.MOST)).alias("r")).collect()])
+        tokens = (t * r) @ p
+        assert abs(tokens / tokens.sum() - list(goals.values())).max() < 2e-4 and misfit < 2e-4
+        assert tokens.sum() > 0.3 * t.sum() and scarce == ([1] if goals["low"] > 0.3 else [])
+        assert (r >= 0).all() and (r <= 1 + (mixing.MOST - 1) * p[:, scarce].sum(1) + 1e-9).all()
+
+
+def test_scarce_domains_are_repeated(corpus):
+    df, domains = corpus
+    goals = {"clean": 0.5, "low": 0.5}
+    rows = mixing.mixing_rates(df, domains, goals).collect()
+    t, p, r = (np.array([x[n] for x in rows]) for n in ("n_tokens", "p_low", "rate"))
+    assert abs((t * p * r).sum() / (t * r).sum() - 0.5) < 1e-3 and r.max() > 1.3
+    ids = [x.doc_id for x in mixing.mix(df, domains, goals).collect()]
+    assert len(ids) > len(set(ids)) and len(ids) == sum(x.copies for x in rows)
+
+
+def test_shares_out_of_reach_are_stated(spark):
+    known = spark.createDataFrame([(100, [0.8, 0.2])] * 20, "n_tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="off their targets"):
+        history, scarce, misfit = mixing.balanced(known, ["clean", "toxic"], {"clean": 0.98, "toxic": 0.02})
+    assert scarce == [] and abs(misfit - 0.18) < 1e-3
+    assert known.select(mixing.rate(F.col("p"), history, 1.0).alias("r")).where("r > 0.2").count() == 20

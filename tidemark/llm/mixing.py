@@ -5,25 +5,31 @@
   apart best.  Each document gets a posterior over the domains from those that it has, and from the
   length over which it lacks the others.
 * **Rates.** With tokens t, posteriors p and rates r, the expected tokens of domain d are the sum of
-  t * p_d * r.  Projected gradient descent fits r between 0 and `most` so that these meet the targets in
-  the least squares: each step sums one number for each domain over all documents, and moves each
-  document's rate against the misfit of its own domains, scaled by the domains' shares.  A step has
-  length 1 in that scale, at which it can't diverge, and a slight pull keeps rates near 1.
+  t * p_d * r.  Of all rates whose expected tokens have the shares of the targets, those nearest to 1 in
+  the least squares of tokens are taken; the total follows from them.  They are 1 less a multiple of each
+  posterior, cut at 0 and at the limit: ascent by damped Newton steps finds one multiple for each domain.
+  A step sums a few numbers over all documents, and the steps end when the shares are reached.
 * **Copies.** A document stays floor(rate + u) times, u being a fixed hash of its id between 0 and 1.
 
-Targets are weights of tokens.  The total is set by the domain of the largest weight, which stays
-whole; a domain that has less than its weight stays whole as well, as `most` allows no repetition.
+Targets are weights of tokens.  A domain that has less than its weight beside the domain of the largest
+weight is scarce: its documents may be repeated, up to `most` times; all others have rates up to 1.
+
+Shares that no document comes near can't be reached.  If they would take all but KEEP of what thinning by
+true domains leaves, projected gradient descent goes as near to totals as it can that leave the domain of
+the largest weight whole, and a warning states the misfit that is left.
 
 A null or empty text has no tokens and the prior as its posterior.  A domain without labelled rows, or
-without a target, is not fitted; without any, all rates are 1.  Rows with equal texts have equal rates.
+without a target, is not fitted; without any above 0, all rates are 1.  Rows with equal texts have equal rates.
 Null ids are never learned from.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +43,9 @@ SUPPORT, COMMON, PRIOR = 8, 0.5, 5_000
 REACH = 200
 #: Steps at most, the change of the misfits (share of all tokens) at which they end, and the pull towards rate 1.
 STEPS, TOLERANCE, PULL = 20, 1e-3, 1e-4
+#: Newton steps at most, the misfit (share of the tokens that stay) at which they end, the share of a thinned
+#: corpus that must stay, and how often a document of a scarce domain may stay.
+PASSES, MISFIT, KEEP, MOST = 40, 1e-4, 0.25, 4.0
 #: Weights of tokens by domain of the labels table.
 TARGETS = {"clean": 0.92, "low": 0.06, "toxic": 0.02}
 #: ASCII white space, as the words of a text are counted.
@@ -113,7 +122,12 @@ class Classifier:
         return out.withColumn("__p", F.array(*(F.col(f"__e{k}") / F.col("__all") for k in each))).select(*docs.columns, "__n_tokens", "__p")
 
 
-def rate(p: Column, history: list[list[float]], most: float) -> Column:
+def limit(p: Column, scarce: list[int], most: float) -> Column:
+    """A document's largest rate: `most` as far as it belongs to scarce domains, 1 otherwise."""
+    return reduce(lambda a, b: a + b, (p[k] * F.lit(most - 1) for k in scarce), F.lit(1.0))
+
+
+def rate(p: Column, history: list[list[float]], most: float | Column) -> Column:
     """A document's rate after all steps, from its posteriors: each step refers to the one before once."""
     r = F.lit(1.0)
     for push in history:
@@ -122,8 +136,65 @@ def rate(p: Column, history: list[list[float]], most: float) -> Column:
     return r
 
 
+def balanced(known: DataFrame, names: list[str], targets: dict[str, float], most: float = MOST) -> tuple[list[list[float]], list[int], float]:
+    """For known(n_tokens, p): the steps of rate(), the scarce domains of limit(), and the misfit of the shares."""
+    each = range(len(names))
+    pairs = [(i, j) for i in each for j in each if i <= j]
+    p, t = F.col("p"), F.col("n_tokens")
+
+    def summed(history, most):
+        """Tokens by domain, those of pairs of domains where rates can move, and squares of changes."""
+        at = known.select("n_tokens", "p", rate(p, history, most).alias("r"), F.lit(most).alias("limit"))
+        free = (F.col("r") > 0) & (F.col("r") < F.col("limit"))
+        row = at.agg(*(F.sum(t * p[k] * F.col("r")) for k in each), *(F.sum(F.when(free, t * p[i] * p[j])) for i, j in pairs), F.sum(t * (F.col("r") - 1) * (F.col("r") - 1))).first()
+        row = np.array([x or 0.0 for x in row])
+        moves = np.zeros((len(names), len(names)))
+        for (i, j), x in zip(pairs, row[len(names) :], strict=False):
+            moves[i, j] = moves[j, i] = x
+        return row[: len(names)], moves, row[-1] / 2
+
+    # below a limit of 2 all rates of 1 can move, so these are sums over all documents
+    have, whole, _ = summed([], 2.0)
+    used = [k for k in each if targets.get(names[k], 0) > 0 and have[k] > 0]
+    # a target of 0 is one as well, but nothing is measured by it
+    fit = [k for k in each if k in used or (targets.get(names[k]) == 0 and have[k] > 0)]
+    if not used:
+        return [], [], 0.0
+    want = np.array([targets[names[k]] if k in used else 0.0 for k in each]) / sum(targets[names[k]] for k in used)
+    main = max(used, key=lambda k: want[k])
+    scale = have[main] / want[main]
+    scarce = [k for k in used if have[k] < want[k] * scale * (1 - MISFIT)] if most > 1 else []
+    least = KEEP * sum(min(want[k] * scale, have[k]) for k in used)
+    inside = np.array([float(k in fit) for k in each])
+    # misfits are a linear map of the tokens by domain: each less its share of all that are fitted
+    off = np.diag(inside) - np.outer(want, inside)
+    scaled = off @ whole @ off.T
+    cap = limit(p, scarce, most)
+    at, step, reached, damping = np.zeros(len(names)), np.zeros(len(names)), -math.inf, 1e-3
+    for _ in range(PASSES):
+        push = (off.T @ (at + step)).tolist()
+        now, moves, changes = summed([push], cap)
+        misfits = off @ now
+        value = changes + (at + step) @ misfits
+        if value >= reached - 1e-12 * have.sum():
+            at, reached, damping = at + step, value, max(damping / 10, 1e-6)
+            ascent, curve = misfits, off @ moves @ off.T
+            kept = float(inside @ now)
+            if kept >= least and abs(misfits).max() <= MISFIT * kept:
+                return [push], scarce, float(abs(misfits).max() / kept)
+        else:
+            damping *= 10
+        # the misfits add up to 0, so one direction is free
+        step = np.linalg.lstsq(curve + damping * scaled, ascent, rcond=1e-12)[0]
+    history = fitted(known, names, targets, 1.0)
+    now = summed(history, 1.0)[0]
+    misfit = float(abs(off @ now).max() / max(inside @ now, 1.0))
+    warnings.warn(f"mixing: the shares of tokens can't be reached; they are off their targets by up to {misfit:.4f}", stacklevel=2)
+    return history, [], misfit
+
+
 def fitted(known: DataFrame, names: list[str], targets: dict[str, float], most: float) -> list[list[float]]:
-    """The steps for known(n_tokens, p): what each domain's posterior takes off a rate, step by step."""
+    """The steps for known(n_tokens, p) towards totals that leave the largest weight's domain whole: what each domain's posterior takes off a rate, step by step."""
     sums = lambda r: [F.coalesce(F.sum(F.col("n_tokens") * F.col("p")[k] * r), F.lit(0.0)).alias(f"s{k}") for k in range(len(names))]
     have = list(known.agg(*sums(F.lit(1.0))).first())
     total = sum(have)
@@ -146,7 +217,7 @@ def fitted(known: DataFrame, names: list[str], targets: dict[str, float], most:
     return history
 
 
-def mixing_rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None = None, most: float = 1.0) -> DataFrame:
+def mixing_rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None = None, most: float = MOST) -> DataFrame:
     """doc_id, n_tokens, a posterior p_<domain> for each domain, rate and copies for each row."""
     classifier = Classifier(docs.select("doc_id", "text"), domains)
     slim = classifier.judged(docs.select("doc_id", "text")).drop("text") if classifier.names else None
@@ -158,12 +229,12 @@ def mixing_rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float]
 
 
 def _rated(known: DataFrame, classifier: Classifier, targets: dict[str, float] | None, most: float) -> DataFrame:
-    history = fitted(known.select(F.col("__n_tokens").alias("n_tokens"), F.col("__p").alias("p")), classifier.names, TARGETS if targets is None else targets, most)
+    history, scarce, _ = balanced(known.select(F.col("__n_tokens").alias("n_tokens"), F.col("__p").alias("p")), classifier.names, TARGETS if targets is None else targets, most)
     u = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.lit("mixing")), F.lit(1 << 24)) / (1 << 24)
-    return known.withColumn("__rate", rate(F.col("__p"), history, most)).withColumn("__copies", F.floor(F.col("__rate") + u).cast("int"))
+    return known.withColumn("__rate", rate(F.col("__p"), history, limit(F.col("__p"), scarce, most))).withColumn("__copies", F.floor(F.col("__rate") + u).cast("int"))
 
 
-def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None = None, most: float = 1.0) -> DataFrame:
+def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None = None, most: float = MOST) -> DataFrame:
     """The rows of docs, each as often as its copies, with all their columns."""
     classifier = Classifier(docs, domains)
     if not classifier.names:
