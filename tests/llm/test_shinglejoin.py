@@ -83,3 +83,15 @@ def test_empty_null_and_near_dedup(spark):
     df = docs(spark, ["a b c d e f", "A b c d e f", None, "", "z"], [None, 5, 2, 3, 4])
     assert sorted(map(repr, map(tuple, shinglejoin.similar_groups(df).collect()))) == sorted(map(repr, [(None, 2, 5), (5, 2, 5), (2, 0, 2), (3, 0, 3), (4, 1, 4)]))
     assert sorted(r.doc_id for r in shinglejoin.near_dedup(df).collect()) == [2, 3, 4, 5]
+
+
+def test_near_dedup_with_null_and_repeated_ids(spark):
+    words = [f"w{k}" for k in range(60)]
+    near_copy = lambda k: " ".join([*words[:59], f"other{k}"])
+    clean = ["".join(f"{c}{k} " for k in range(20)) for c in "abcd"]
+    rows = [(3, " ".join(words)), (None, near_copy(1)), (None, clean[0]), (None, None), (7, near_copy(2)), (7, clean[1]), (7, clean[1])]
+    # a group of null ids, and one of a repeated id: one of each stays
+    rows += [(None, clean[2] + "x"), (None, clean[2] + "y"), (9, clean[3] + "x"), (9, clean[3] + "y")]
+    got = [(r.doc_id, r.text) for r in shinglejoin.near_dedup(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect()]
+    assert sorted(map(repr, got[:])) == sorted(map(repr, [rows[k] for k in (0, 2, 3, 5, 6)] + [r for r in got if r in rows[7:]]))
+    assert sum(r in rows[7:9] for r in got) == 1 and sum(r in rows[9:] for r in got) == 1

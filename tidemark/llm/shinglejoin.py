@@ -363,6 +363,17 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; all columns are kept."""
-    gone = similar_groups(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti").select(*docs.columns)
+    """One document of each group stays, the one with the smallest doc_id; all columns are kept.
+
+    A document is its doc_id and its text: rows that repeat both stay or go together, and rows that share
+    only a doc_id, null or not, are judged each by its own text.  Null ids are larger than all others; of
+    documents of a group with one id the one with the least hash stays.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    groups = similar_groups(keyed.select(F.col("__key").alias("doc_id"), "text")).where("n_shingles > 0")
+    found = stored(groups.select(F.col("doc_id").alias("__key"), "component_id").distinct(), "shingle-groups")
+    own = keyed.select("__key", F.col("doc_id").cast("long").alias("id")).distinct()
+    first = found.join(own, "__key").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__key")).alias("first"))
+    # by keys, not by groups, as a group may have any number of rows
+    gone = found.select("__key").join(first.select("first.__key"), "__key", "left_anti")
+    return keyed.join(gone, "__key", "left_anti").select(*docs.columns)
