@@ -466,6 +466,24 @@ def findings_by_type(v):
     return integrity.by_type(findings(v))
 
 
+EVERY_FINDING = FINDINGS.rstrip() + """,
+r5(snapshot_id, tree) AS (SELECT id, tree FROM snapshots UNION SELECT r.snapshot_id, e.subtree FROM r5 r JOIN edges e ON r.tree = e.tree),
+every_need AS (SELECT tree AS id FROM r5 UNION SELECT c.id FROM r5 r JOIN leaf_content c ON r.tree = c.tree WHERE c.id NOT IN (SELECT id FROM ix)),
+every_f AS (SELECT type, id FROM f WHERE type NOT IN ('missing_blob', 'broken_key') UNION ALL SELECT 'missing_blob', id FROM every_need
+UNION ALL SELECT CASE k WHEN 0 THEN 'broken_config' WHEN 1 THEN 'broken_key' WHEN 2 THEN 'broken_index' ELSE 'broken_snapshot' END, id FROM snapshots WHERE k < 4
+UNION ALL SELECT DISTINCT 'corrupt_blob', id FROM blobs WHERE substring(id, 5, 1) = 'a')
+"""
+
+
+@query("snapshots edges leaf_content index_entries pack_files blobs", EVERY_FINDING + "SELECT type, id FROM every_f")
+def integrity_check_full(v):
+    """integrity_check over all snapshots, files of all kinds and the bytes of all blobs."""
+    index = headers(v, every=True).join(v.index_entries.select("index_id", "id"), "id").drop("compressed", "ordinal")
+    rename = lambda df: df.withColumn("pack_id", F.sha2("pack_id", 256))
+    files = v.snapshots.selectExpr("CASE k WHEN 0 THEN 'config' WHEN 1 THEN 'key' WHEN 2 THEN 'index' ELSE 'snapshot' END AS kind", "id", "CASE WHEN k < 4 THEN 'bad seal' ELSE 'ok' END AS status")
+    return integrity.check(v.snapshots, nodes(v), rename(index), rename(headers(v)), rename(v.pack_files), files, rename(blob_bytes(v)).distinct()).select("type", "id")
+
+
 @query("index_entries snapshots", "SELECT count(DISTINCT index_id) AS index_files, count(DISTINCT pack_id) AS packs, count(DISTINCT (type, id)) AS blobs, (SELECT count(*) FROM snapshots) AS snapshots FROM index_entries")
 def check_counters(v):
     return integrity.counters(v.snapshots, v.index_entries)
@@ -478,10 +496,14 @@ def repair_index(v):
     return integrity.repair_index(own, packs).select("pack_id", "id", "length")
 
 
+def blob_bytes(v):
+    """All blobs with their bytes, of which some were changed."""
+    return v.files.select("id", F.concat(F.lit("pack-"), F.substring("id", 1, 2)).alias("pack_id"), F.encode(F.when(F.substring("id", 5, 1) == "a", F.concat("text", F.lit("!"))).otherwise(F.col("text")), "UTF-8").alias("data"))
+
+
 @query("blobs", "SELECT DISTINCT id, pack_id FROM blobs WHERE substring(id, 5, 1) = 'a'")
 def corrupt_blobs(v):
-    data = v.files.select("id", F.concat(F.lit("pack-"), F.substring("id", 1, 2)).alias("pack_id"), F.encode(F.when(F.substring("id", 5, 1) == "a", F.concat("text", F.lit("!"))).otherwise(F.col("text")), "UTF-8").alias("data"))
-    return integrity.corrupt(data).select("id", "pack_id").distinct()
+    return integrity.corrupt(blob_bytes(v)).select("id", "pack_id").distinct()
 
 
 # operations -------------------------------------------------------------------------------------------------------
