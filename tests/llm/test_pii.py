@@ -35,19 +35,20 @@ def test_best_path_and_gradient_equal_brute_force():
     text = "ab 12 x-3"
     zone = pii.Zone(text, 0, len(text))
     weights = rnd.normal(size=(len(pii.KINDS), len(pii.FEATURES)))
-    score = zone.rows @ weights.T
-    options = [(k, c) for k in range(len(zone.spans)) for c in range(len(pii.KINDS))]
+    spans, rows = zone._all[:2]
+    score = rows @ weights.T
+    options = [(k, c) for k in range(len(spans)) for c in range(len(pii.KINDS))]
     paths = []
     for size in range(4):
         for chosen in itertools.combinations(options, size):
-            cover = [zone.spans[k] for k, _ in chosen]
+            cover = [spans[k] for k, _ in chosen]
             if all(a[1] <= b[0] or b[1] <= a[0] for a, b in itertools.combinations(cover, 2)):
                 paths.append((sum(score[k, c] for k, c in chosen), chosen))
     top = max(paths, key=lambda p: p[0])[1]
-    want = sorted((c, zone.bounds[zone.spans[k][0]], zone.bounds[zone.spans[k][1]]) for k, c in top)
+    want = sorted((c, zone.bounds[spans[k][0]], zone.bounds[spans[k][1]]) for k, c in top)
     assert sorted(zone.best(weights)) == want
     total = np.logaddexp.reduce([p[0] for p in paths])
-    expected = sum(np.exp(s - total) * sum((np.outer(np.arange(len(pii.KINDS)) == c, zone.rows[k]) for k, c in chosen), np.zeros_like(weights)) for s, chosen in paths)
+    expected = sum(np.exp(s - total) * sum((np.outer(np.arange(len(pii.KINDS)) == c, rows[k]) for k, c in chosen), np.zeros_like(weights)) for s, chosen in paths)
     assert np.allclose(zone.slope(weights, set()), -expected)
 
 
@@ -75,3 +76,60 @@ def test_query_and_edges(spark):
         assert got[i].base_sha256 == hashlib.sha256(pii.joined(own).encode()).hexdigest()
         assert set(pii.joined(own).split(",")) <= set(got[i].spans.split(",")) | {""}
     assert pii.personal_data(docs(spark, [])).count() == 0
+
+
+def test_planted_data_is_found():
+    """Recall of all spans on planted data in prose, and silence on prose."""
+    weights = pii.trained()
+    rnd = random.Random(5)
+    pick = lambda chars, n: "".join(rnd.choice(chars) for _ in range(n))
+    prose = lambda n: " ".join(pick("abcdefghilmnoprstuv", rnd.randrange(2, 9)) for _ in range(n))
+
+    def card():
+        body = pick("3456", 1) + pick("0123456789", 14)
+        return next(body + d for d in "0123456789" if pii.luhn(body + d))
+
+    planted = [
+        lambda: ("", f"{pick('abcdef', 5)}.{pick('0123456789', 2)}@mail{rnd.randrange(9)}.example.com", ""), lambda: ("", ".".join(str(rnd.randrange(1, 256)) for _ in range(4)), ""), lambda: ("", card(), ""),
+        lambda: ("", f"+1 ({pick('23456789', 3)}) 555-{pick('0123456789', 4)}", ""), lambda: ("", f"({pick('23456789', 3)}) 555-{pick('0123456789', 4)}", ""), lambda: ('token = "', pick("0123456789abcdef", 40), '"'),
+        lambda: ("", "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), ""), lambda: ("", "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 16), ""), lambda: ("password=", pick("abcdefghijklmnopqrstuvwxyz", 20), ""), lambda: ("secret: ", pick("abcdefghijklmnopqrstuvwxyz0123456789", 24), ""),
+    ]
+    for make in planted:
+        found = 0
+        for _ in range(60):
+            lead, s, tail = make()
+            text = f"{prose(12)} {lead}"
+            start, text = len(text), text + s + tail + rnd.choice([" ", ". ", "### ", ", "]) + prose(12)
+            found += any((a, b) == (start, start + len(s)) for _, a, b in pii.spans(text, weights)[1])
+        assert found >= 54, (make()[:2], found)
+    clean = [f"{prose(20)}. {rnd.choice(['Version 2.0.', 'In 2024,', 'page 12', 'key: value', 'the secret: none', 'CHAPTER ONE', '3.'])} {prose(20)}" for _ in range(200)]
+    assert sum(bool(pii.spans(x, weights)[1]) for x in clean) <= 4
+
+
+def test_digits_of_any_script_and_long_zeros(spark):
+    texts = ["v 1.2.3.\u00b2 x", "1.2.3.\u2460", "\u0661.\u0662.\u0663.\u0664", "\uff11.\uff12.\uff13.\uff14 1", "0" * 6000 + "1.2.3.4", "a\u00b2@b.c 1"]
+    got = {r.doc_id: r for r in pii.personal_data(docs(spark, texts)).collect()}
+    assert [got[i].n_ip for i in range(6)] == [0, 0, 0, 0, 1, 0]
+    doubled = docs(spark, [texts[0]] * 2, [None, None])
+    assert [r.doc_id for r in pii.personal_data(doubled.withColumn("spans", doubled.text).withColumn("n_ip", doubled.text)).collect()] == [None, None]
+
+
+def test_time_is_linear_in_a_zone():
+    import time
+
+    weights = pii.trained()
+    took = []
+    for n in (4000, 16000):
+        text = " ".join(str(k) for k in range(n))
+        start = time.process_time()
+        pii.spans(text, weights)
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0]
+
+
+def test_blocks_give_what_one_block_gives(monkeypatch):
+    weights = pii.trained()
+    text = " ".join(pii.sentence(random.Random(k))[0] for k in range(30))
+    want = pii.spans(text, weights)
+    monkeypatch.setattr(pii.Zone.candidates, "__defaults__", (3,))
+    assert pii.spans(text, weights) == want

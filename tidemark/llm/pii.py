@@ -2,14 +2,18 @@
 
 The base patterns (email, ip, card, phone) always count.  A semi-Markov CRF adds spans that they miss:
 numbers written without a plus sign, numbers that a pattern swallowed together with a neighbour, and
-secrets (keys, tokens, passwords).  It reads zones around words with a digit or an at sign - no span
-without one can be an entity, so nothing is lost by leaving the rest out - as atoms: runs of letters
-and digits, single other characters.  Whole-span features score every candidate span of up to SPAN
-atoms as one of the kinds; a dynamic programme over the zone chooses boundaries and kinds jointly.
+secrets (keys, tokens, passwords).  It reads zones around seeds - digits, at signs, runs of SHOUT
+capitals, a word for a secret with = or : behind it - as atoms: runs of letters and digits, single
+other characters.  Whole-span features score every candidate span of up to SPAN atoms that holds a
+seed, or follows such a word, as one of the kinds; a dynamic programme over the zone chooses
+boundaries and kinds jointly.  What has none of these marks is outside the model, as are spans of more atoms.
 
 Weights are trained here, by the gradient of the log-likelihood (forward and backward sums), from
-sentences that a fixed rule generates.  Added spans never overlap base spans.  A null or empty text
-has no spans; equal rows get equal results; an empty table gives an empty result.
+sentences that a fixed rule generates.  Added spans never overlap base spans.  Of choices that score the
+same, the one that leaves its last atoms outside spans is taken, then the one whose last span is longest;
+of kinds the first as listed.  Time and memory are linear in a text: candidates come BLOCK starts at a time.  A null or empty text has no spans; equal rows
+get equal results, whatever their ids, null ones too; an empty table gives an empty result.  Columns
+other than doc_id and text, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +32,21 @@ from tidemark.llm.words import slices
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Atoms of the longest span, words of context around a seed, sentences and passes of the training.
-SPAN, CONTEXT, SENTENCES, PASSES, RATE = 16, 2, 260, 12, 0.6
+SPAN, CONTEXT, SENTENCES, PASSES, RATE = 16, 2, 300, 12, 0.6
+#: Capitals in a row that may be a secret; starts of candidate spans that are scored at a time.
+SHOUT, BLOCK = 16, 2048
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_SEED = re.compile(r"[0-9@]")
+_NAMED = r"(?i:pass(?:word|wd)?|pwd|token|secret|key)[^A-Za-z0-9\n]{0,2}[=:]"
+_SEED = re.compile(rf"[0-9@]|[A-Z]{{{SHOUT}}}|{_NAMED}")
+#: What makes an atom part of an entity by itself, and what ends right before an entity.
+_MARK = re.compile(rf"[0-9@]|[A-Z]{{{SHOUT}}}")
+_BEHIND = re.compile(rf"{_NAMED}[^A-Za-z0-9\n]{{0,2}}$")
+_SPACE = frozenset(" \t\n\x0b\x0c\r")
 _WORD = re.compile(r"[^ \t-\r]+")
 _ATOM = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]", re.S)
 _DIGITS = re.compile(r"[0-9]")
@@ -61,11 +72,17 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _byte(digits: str) -> bool:
+    """Whether ASCII digits, however many, are a number up to 255."""
+    some = digits.lstrip("0")
+    return len(some) <= 3 and int(some or "0") <= 255
+
+
 def base(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the fixed patterns, by kind and start."""
     out = [(0, a, b) for a, b in emails(text)] if "@" in text else []
     if _DIGITS.search(text):
-        out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split("."))]
+        out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(_byte(x) for x in m.group().split("."))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 16:
                 digits = m.group().replace(" ", "").replace("-", "")
@@ -78,7 +95,7 @@ def base(text: str) -> list[tuple[int, int, int]]:
 
 FEATURES = (
     "always", "at", "at and dot", "four parts to 255", "luhn", "plain number", "plus", "brackets", "phone digits", "few digits", "many digits",
-    "grouped", "space", "long mixed", "long hex", "capitals and digits", "cue", "after equals", "quoted", "dots", "odd sign", "letters", "atoms over 10", "open bracket", "one atom", "short parts", "date like", "ends well",
+    "grouped", "space", "long mixed", "long hex", "capitals and digits", "cue", "after equals", "quoted", "dots", "odd sign", "letters", "atoms over 10", "open bracket", "one atom", "short parts", "date like", "ends well", "long solid",
 )
 _CUE = re.compile(r"(?:pass(?:word|wd)?|pwd|token|secret|key)\W{0,4}$", re.I)
 _DATE = re.compile(r"(?:[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./][0-9]{2,4})(?:[ T][0-9:.]+)?")
@@ -97,7 +114,7 @@ def features(text: str, start: int, end: int) -> np.ndarray:
         True,
         "@" in s,
         bool(_DOMAIN.fullmatch(s.rpartition("@")[2])) and 0 < s.find("@") and s.count("@") == 1 and " " not in s,
-        len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts),
+        len(parts) == 4 and all(p.isascii() and p.isdigit() and _byte(p) for p in parts),
         number and 16 <= n <= 19 and "." not in s and "(" not in s and "+" not in s and luhn(digits),
         number,
         s[0] == "+" and number,
@@ -122,76 +139,99 @@ def features(text: str, start: int, end: int) -> np.ndarray:
         number and n and max(map(len, re.split(r"[^0-9]+", s))) < 3,
         bool(_DATE.fullmatch(s)),
         s[-1].isalnum() and (s[0].isalnum() or s[0] in "+("),
+        solid and len(s) >= 12,
     )
     return np.array(has, float)
 
 
 class Zone:
-    """Atoms of a stretch of text, and all candidate spans with their features."""
+    """Atoms of a stretch of text, and its candidate spans."""
 
     def __init__(self, text: str, start: int, end: int):
-        self.bounds = [m.start() for m in _ATOM.finditer(text, start, end)] + [end]
-        self.n = len(self.bounds) - 1
-        edge = [i == 0 or not (text[i - 1].isalnum() and text[i : i + 1].isalnum()) for i in self.bounds]
-        solid = [not text[i].isspace() for i in self.bounds[:-1]]
-        spans, rows = [], []
+        self.text = text
+        self.bounds = np.fromiter((m.start() for m in _ATOM.finditer(text, start, end)), np.int64)
+        self.n = len(self.bounds)
+        self.bounds = np.append(self.bounds, end)
+
+    def _edge(self, i: int) -> bool:
+        return i == 0 or not (self.text[i - 1].isalnum() and self.text[i : i + 1].isalnum())
+
+    def candidates(self, block: int = BLOCK):
+        """(spans, features): rows of (first atom, atom behind), by start and end, of `block` starts at a time."""
+        text, bounds = self.text, self.bounds
+        spans: list[tuple[int, int]] = []
+        rows: list[np.ndarray] = []
         for i in range(self.n):
-            if not (solid[i] and edge[i]) or text[self.bounds[i]] in ".,;:!?)-":
+            if i and i % block == 0 and spans:
+                yield np.array(spans, np.int64), np.array(rows)
+                spans, rows = [], []
+            first = int(bounds[i])
+            if text[first].isspace() or text[first] in ".,;:!?)-" or not self._edge(first):
                 continue
-            seeded = False
+            seeded = bool(_BEHIND.search(text, max(0, first - 16), first))
             for j in range(i + 1, min(i + SPAN, self.n) + 1):
-                a, b = self.bounds[j - 1], self.bounds[j]
+                a, b = int(bounds[j - 1]), int(bounds[j])
                 if text[a] in "\n\r":
                     break
-                seeded = seeded or bool(_SEED.search(text, a, b))
-                if seeded and solid[j - 1] and edge[j] and text[b - 1] not in ".,;:!?(+":
+                seeded = seeded or bool(_MARK.search(text, a, b))
+                if seeded and not text[a].isspace() and text[b - 1] not in ".,;:!?(+" and self._edge(b):
                     spans.append((i, j))
-                    rows.append(features(text, self.bounds[i], b))
-        self.spans = np.array(spans, np.int64).reshape(-1, 2)
-        self.rows = np.array(rows).reshape(-1, len(FEATURES))
-        self.into = [np.flatnonzero(self.spans[:, 1] == j) for j in range(self.n + 1)]
-        self.out_of = [np.flatnonzero(self.spans[:, 0] == i) for i in range(self.n + 1)]
+                    rows.append(features(text, first, b))
+        if spans:
+            yield np.array(spans, np.int64), np.array(rows)
 
     def best(self, weights: np.ndarray) -> list[tuple[int, int, int]]:
         """(kind, start, end) of the best joint choice; an atom outside spans scores 0."""
-        if not len(self.spans):
-            return []
-        score = self.rows @ weights.T
-        kind, top = score.argmax(1), score.max(1)
-        value, back = np.zeros(self.n + 1), np.full(self.n + 1, -1)
-        for j in range(1, self.n + 1):
-            value[j] = value[j - 1]
-            if len(at := self.into[j]):
-                reach = value[self.spans[at, 0]] + top[at]
-                if reach.max() > value[j]:
-                    value[j], back[j] = reach.max(), at[reach.argmax()]
+        value, back, kind = np.full(self.n + 1, -np.inf), np.full(self.n + 1, -1, np.int64), np.zeros(self.n + 1, np.int8)
+        value[0], done = 0.0, 0
+        for spans, rows in self.candidates():
+            score = rows @ weights.T
+            for (i, j), k, top in zip(spans.tolist(), score.argmax(1).tolist(), score.max(1).tolist(), strict=True):
+                while done < i:  # all spans that end there have been seen
+                    done += 1
+                    if value[done] <= value[done - 1]:
+                        value[done], back[done] = value[done - 1], -1
+                if value[i] + top > value[j]:
+                    value[j], back[j], kind[j] = value[i] + top, i, k
+        while done < self.n:
+            done += 1
+            if value[done] <= value[done - 1]:
+                value[done], back[done] = value[done - 1], -1
         out, j = [], self.n
         while j > 0:
             if back[j] < 0:
                 j -= 1
             else:
-                i = self.spans[back[j], 0]
-                out.append((int(kind[back[j]]), self.bounds[i], self.bounds[j]))
-                j = i
+                out.append((int(kind[j]), int(self.bounds[back[j]]), int(self.bounds[j])))
+                j = int(back[j])
         return out[::-1]
 
+    @cached_property
+    def _all(self):
+        """All spans and features of a sentence, and the numbers of the spans into and out of each atom bound."""
+        found = list(self.candidates())
+        spans = np.concatenate([s for s, _ in found]) if found else np.zeros((0, 2), np.int64)
+        rows = np.concatenate([r for _, r in found]) if found else np.zeros((0, len(FEATURES)))
+        return spans, rows, *([np.flatnonzero(spans[:, side] == j) for j in range(self.n + 1)] for side in (1, 0))
+
     def slope(self, weights: np.ndarray, gold: set[tuple[int, int, int]]) -> np.ndarray:
         """Gradient of the log-likelihood of the gold spans: theirs less the expected features."""
-        if not len(self.spans):
+        spans, rows, into, out_of = self._all
+        if not len(spans):
             return np.zeros_like(weights)
-        score = self.rows @ weights.T
+        score = rows @ weights.T
         each = np.logaddexp.reduce(score, axis=1)
         alpha, beta = np.zeros(self.n + 1), np.zeros(self.n + 1)
         for j in range(1, self.n + 1):
-            alpha[j] = np.logaddexp.reduce([alpha[j - 1], *(alpha[self.spans[self.into[j], 0]] + each[self.into[j]])])
+            alpha[j] = np.logaddexp.reduce([alpha[j - 1], *(alpha[spans[into[j], 0]] + each[into[j]])])
         for i in range(self.n - 1, -1, -1):
-            beta[i] = np.logaddexp.reduce([beta[i + 1], *(beta[self.spans[self.out_of[i], 1]] + each[self.out_of[i]])])
-        share = np.exp(alpha[self.spans[:, 0], None] + score + beta[self.spans[:, 1], None] - alpha[self.n])
+            beta[i] = np.logaddexp.reduce([beta[i + 1], *(beta[spans[out_of[i], 1]] + each[out_of[i]])])
+        share = np.exp(alpha[spans[:, 0], None] + score + beta[spans[:, 1], None] - alpha[self.n])
         want = np.zeros_like(share)
-        for k, (i, j) in enumerate(self.spans):
+        for k, (i, j) in enumerate(spans):
             for kind in range(len(KINDS)):
-                want[k, kind] = (kind, self.bounds[i], self.bounds[j]) in gold
-        return (want - share).T @ self.rows
+                want[k, kind] = (kind, int(self.bounds[i]), int(self.bounds[j])) in gold
+        return (want - share).T @ rows
 
 
 def sentence(rnd: random.Random) -> tuple[str, set[tuple[int, int, int]]]:
@@ -211,7 +251,7 @@ def sentence(rnd: random.Random) -> tuple[str, set[tuple[int, int, int]]]:
 
     def secret() -> str:
         mixed = lambda chars, n: "".join(rnd.choice(chars) for _ in range(n))
-        return rnd.choice([lambda: "AKIA" + mixed("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: mixed("0123456789abcdef", rnd.choice([16, 18, 32, 40])), lambda: mixed("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 24)])()
+        return rnd.choice([lambda: "AKIA" + mixed("ABCDEFGHIJKLMNOPQRSTUVWXYZ" + rnd.choice(["", "234567"]), 16), lambda: mixed("abcdefghijklmnopqrstuvwxyz" + rnd.choice(["", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]), rnd.randrange(12, 28)), lambda: mixed("0123456789abcdef", rnd.choice([16, 18, 32, 40])), lambda: mixed("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 24)])()
 
     makers = (
         lambda: f"{word()}.{digits(2)}@mail{digits(1)}.example.com".translate({233: "e", 252: "u"}),
@@ -223,7 +263,7 @@ def sentence(rnd: random.Random) -> tuple[str, set[tuple[int, int, int]]]:
     others = (
         lambda: digits(rnd.randrange(1, 7)), lambda: f"{rnd.randrange(20)}.{rnd.randrange(20)}", lambda: f"{rnd.randrange(9)}.{rnd.randrange(30)}.{rnd.randrange(30)}", lambda: f"20{digits(2)}-0{rnd.randrange(1, 9)}-1{digits(1)}",
         lambda: f"{rnd.randrange(1, 28)}/{rnd.randrange(1, 12)}/20{digits(2)}", lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: f"{digits(3)},{digits(3)}", lambda: digits(16) if rnd.random() < 0.3 else digits(9), lambda: word() + digits(2), lambda: f"@{word()}", lambda: f"{rnd.randrange(300, 900)}.{digits(3)}.{digits(2)}.{digits(1)}",
-        lambda: f"({digits(1)})", lambda: f"{digits(4)}-{digits(4)}", lambda: f"{digits(2)} {digits(2)} {digits(2)}", lambda: f"{digits(1)}.0.", lambda: f"{digits(3)}%",
+        lambda: f"({digits(1)})", lambda: f"{digits(4)}-{digits(4)}", lambda: f"{digits(2)} {digits(2)} {digits(2)}", lambda: f"{digits(1)}.0.", lambda: f"{digits(3)}%", lambda: rnd.choice(["key: ", "token: ", "Secret: ", "the key = "]) + word(), lambda: "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(rnd.randrange(2, 15))),
     )
     text, gold = "", set()
     for _ in range(rnd.randrange(4, 9)):
@@ -263,21 +303,46 @@ def trained(seed: int = 11) -> np.ndarray:
     return weights
 
 
-def zones(text: str) -> list[tuple[int, int]]:
-    """Stretches around words with a digit or an at sign, CONTEXT words to either side, apart from each other."""
-    if not _SEED.search(text):
-        return []
-    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    starts = np.array([a for a, _ in words])
-    seeded = np.unique([int(np.searchsorted(starts, m.start(), side="right")) - 1 for m in _SEED.finditer(text)])
-    out: list[list[int]] = []
-    for k in seeded:
-        a, b = max(0, k - CONTEXT), min(len(words), k + CONTEXT + 1)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+def _left(text: str, at: int, words: int) -> int:
+    """Where the word before `at` starts, or the one `words` further to the left."""
+    while at > 0 and text[at - 1] not in _SPACE:
+        at -= 1
+    for _ in range(words):
+        first = at
+        while at > 0 and text[at - 1] in _SPACE:
+            at -= 1
+        if not at:
+            return first
+        while at > 0 and text[at - 1] not in _SPACE:
+            at -= 1
+    return at
+
+
+def _right(text: str, at: int, words: int) -> int:
+    """Where the word at `at` ends, or the one `words` further to the right."""
+    m = _WORD.match(text, at)
+    at = m.end() if m else at
+    for _ in range(words):
+        if not (m := _WORD.search(text, at)):
+            break
+        at = m.end()
+    return at
+
+
+def zones(text: str):
+    """Stretches around words with a seed, CONTEXT words to either side, apart from each other by more than white space."""
+    start = end = at = 0
+    while m := _SEED.search(text, at):
+        at = _right(text, m.end() - 1, 0)
+        a, b = _left(text, m.start(), CONTEXT), _right(text, m.end() - 1, CONTEXT)
+        if end and (a <= end or text[end:a].isspace()):
+            end = b
         else:
-            out.append([a, b])
-    return [(words[a][0], words[b - 1][1]) for a, b in out]
+            if end:
+                yield start, end
+            start, end = a, b
+    if end:
+        yield start, end
 
 
 def spans(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
