@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import raw, slices, split, stretches
+from tidemark.llm.words import WordCache, raw, slices, split, stretches
 
 TOKENIZER = "word_bpe_49k.json"
 #: Tokens of a sequence, of a window, and the id that closes a document.
@@ -38,8 +38,11 @@ LINEAR, QUADRATIC = 1.0, 1 / 2048
 STRETCH = 1 << 20
 #: Words that the cache holds before it is emptied, and runs of letters and the like that outlast it.
 CACHE, RUNS = 400_000, 500_000
+#: Parts that are encoded in one call.
+TOGETHER = 256
 #: A word that is one run of letters, perhaps followed by punctuation, all of them whole characters in any normal form.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<")
 
 
 @cache
@@ -58,63 +61,80 @@ def _library(tokenizer: str):
 
 
 class Encoder:
-    """Ids of words, each distinct one encoded once until the cache is full."""
+    """Ids of words: a word is a run of letters and a tail of punctuation, or stands for itself; each is encoded once until the cache is full."""
 
     def __init__(self, tokenizer: str = TOKENIZER, limit: int = CACHE):
         self.library, self.ends = _library(tokenizer)
-        self.limit = limit
-        self.runs: dict[str, list[int]] = {}
+        self.cached = WordCache(self._halves, limit)
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        if len(self.runs) > RUNS:
-            self.runs = {}
-        self.pool, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _each(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _runs(self, runs: list[str]) -> list[list[int]]:
-        """Ids of runs of letters, many in one call: each ends with the one piece that ends a word."""
-        out: list[list[int]] = []
-        for k in range(0, len(runs), 64):
-            some = runs[k : k + 64]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            out += [x.tolist() for x in np.split(ids, cuts)[:-1]] if len(cuts) == len(some) and cuts[-1] == len(ids) else self._each(some)
-        return out
-
-    def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        plain = [_PLAIN.fullmatch(t) for t in texts]
-        runs = list(dict.fromkeys(r for m in plain if m and (r := m[1].lower()) not in self.runs))
-        rest = list(dict.fromkeys([m[2] for m in plain if m and m[2] and m[2] not in self.runs] + [t for t, m in zip(texts, plain, strict=True) if not m and t not in self.runs]))
-        self.runs |= dict(zip(runs, self._runs(runs), strict=True))
-        self.runs |= dict(zip(rest, self._each(rest), strict=True))
-        ids = [self.runs[m[1].lower()] + (self.runs[m[2]] if m[2] else []) if m else self.runs[t] for t, m in zip(texts, plain, strict=True)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))])
+        self.cached._clear()
+        # rows of parts; the first is the empty one
+        self.rows: dict[bytes, int] = {b"": 0}
+        self.pool, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _each(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts in a row, and how many each has."""
+        ids = [x.ids for x in self.library.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
+
+    def _runs(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for runs of letters, in one call: each ends with the one piece that ends a word."""
+        ids = np.array(self.library.encode(b" ".join(parts).decode(), add_special_tokens=False).ids, np.int32)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(parts) or cuts[-1] != len(ids):
+            return self._each(parts)
+        return ids, np.diff(cuts, prepend=0)
+
+    def _learn(self, parts: list[bytes], encode) -> None:
+        for k in range(0, len(parts), TOGETHER):
+            some = parts[k : k + TOGETHER]
+            ids, sizes = encode(some)
+            self.rows.update(zip(some, range(len(self.rows), len(self.rows) + len(some)), strict=True))
+            self.found.append((ids, sizes))
+
+    def _halves(self, words: list[bytes]) -> np.ndarray:
+        """Rows of the run and the tail of each word."""
+        heads, tails, runs, rest = [], [], {}, {}
+        for w in words:
+            head = w.rstrip(_MARKS)
+            if head.isalpha():  # ASCII letters
+                tail, head, kind = w[len(head) :], head.lower(), runs
+            elif not w.isascii() and (m := _PLAIN.fullmatch(w.decode())):
+                head, tail, kind = m[1].lower().encode(), m[2].encode(), runs
+            else:
+                head, tail, kind = w, b"", rest
+            heads.append(head)
+            tails.append(tail)
+            if head not in self.rows:
+                kind[head] = None
+            if tail not in self.rows:
+                rest[tail] = None
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+        self._learn(list(runs), self._runs)
+        self._learn(list(rest), self._each)
+        if self.found:
+            sizes = np.concatenate([s for _, s in self.found])
+            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.pool = np.concatenate([self.pool, *(i for i, _ in self.found)])
+        return np.array([list(map(self.rows.__getitem__, x)) for x in (heads, tails)], np.int64).T
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """Each text's ids, as the library gives them for the whole text."""
         if len(texts) == 1 and len(texts[0]) > 2 * STRETCH:
             return [np.concatenate([self([x])[0] for x in stretches(texts[0], STRETCH)])]
-        if len(self.index) > self.limit:
+        if len(self.rows) > RUNS:
             self._clear()
         words, bounds = split(texts)
-        fresh = [w for w in dict.fromkeys(words) if w not in self.index]
-        if fresh:
-            self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh)), strict=True))
-            self._learn(fresh)
-        rows = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if not words:
+            return [np.zeros(0, np.int32) for _ in texts]
+        rows = self.cached(words).ravel()
         sizes = self.sizes[rows]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.arange(ends[-1]) + np.repeat(self.starts[rows] - ends[:-1], sizes)
-        ids = self.pool[at]
-        return [ids[ends[a] : ends[b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        ids = self.pool[np.arange(ends[-1]) + np.repeat(self.starts[rows] - ends[:-1], sizes)]
+        return [ids[ends[2 * a] : ends[2 * b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def cost(tokens):
