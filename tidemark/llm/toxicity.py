@@ -7,9 +7,16 @@ corrected by the share of toxic ones among them; where the correction goes below
 the model overfits) the step goes the other way.  The prior is the share of toxic rows among the
 labelled rows of the learning fold.
 
-Learning takes a bounded sample (POSITIVE and UNLABELLED rows, those with the smallest hashes of
-their id), scoring covers every row.  Rows with a null id are never learned from.  A null or empty
-text has no words and gets the score of the bias alone.  Without any confirmed text all scores are 0.
+Every word may carry weight.  The squared norm draws a weight to 0 the more, the less the word's share among
+toxic texts stands out from chance (see `trust`), so what few texts say is believed little, at every
+size of table, and rare words are not learned by heart.
+
+Learning takes a bounded sample (POSITIVE and UNLABELLED rows, those with the smallest hashes of their id,
+and of these as many as BYTES of distinct words hold), scoring covers every row.  Rows with a null id
+are never learned from.  A score of 0.5 is predicted as toxic.  A null or empty text has no words and
+gets the score of the bias alone.  Without any confirmed text all scores are 0.  Rows that repeat a text
+have equal scores, whatever their ids; an empty table gives an empty result; other columns, whatever their
+names, are not looked at.  Very long texts are no more than their distinct buckets.
 """
 
 from __future__ import annotations
@@ -21,16 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import WordCache, digest64, raw, slices, split, sums
+from tidemark.llm.words import WordCache, digest64, raw, slices, split, stored, sums
 
 #: Buckets of hashed words.
 BUCKETS = 1 << 18
 #: Rows that are learned from, at most.
 POSITIVE, UNLABELLED = 8_000, 16_000
+#: Bytes of distinct buckets of each side that are learned from, at most, at four a bucket.
+BYTES = 64 << 20
 #: Steps, their size, the weight of the squared norm, and the size of corrective steps.
-STEPS, RATE, DECAY, CORRECTION = 200, 0.05, 1e-5, 1.0
-#: Words that carry weight: the KEPT ones that tell toxic from unlabelled texts best, in SUPPORT toxic texts at least.
-KEPT, SUPPORT, LEAST_Z = 256, 8, 6.0
+STEPS, RATE, DECAY, CORRECTION = 200, 0.05, 3e-5, 1.0
+#: The square of a deviation, in standard errors, at which a word is trusted by half.
+CHANCE = 36.0
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -51,45 +60,51 @@ def _margins(weights: np.ndarray, found: np.ndarray, starts: np.ndarray) -> np.n
     return sums(weights[found], starts) + weights[BUCKETS]
 
 
-def telling(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Which buckets may carry weight: rare words would only be learned by heart."""
+def trust(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Between 0 and 1 for each bucket, and 1 for the bias: how far its share of toxic texts stands out from chance."""
     (fp, sp), (fu, su) = positive, unlabelled
-    cp, cu = np.bincount(fp, minlength=BUCKETS), np.bincount(fu, minlength=BUCKETS)
-    p, u = cp / max(len(sp) - 1, 1), (cu + 1) / (len(su) + 1)
-    z = (p - u) / np.sqrt(u * (1 - u) * (1 / max(len(sp) - 1, 1) + 1 / len(su)))
-    z = np.where((cp >= min(SUPPORT, max(1, (len(sp) - 1) // 4))) & (np.abs(z) >= LEAST_Z), np.abs(z), 0)
-    chosen = np.argsort(-z, kind="stable")[:KEPT]
-    out = np.zeros(BUCKETS, bool)
-    out[chosen[z[chosen] > 0]] = True
-    return out
+    n, m = len(sp) - 1, len(su) - 1
+    p, u = np.bincount(fp, minlength=BUCKETS) / n, (np.bincount(fu, minlength=BUCKETS) + 1) / (m + 2)
+    square = (p - u) ** 2 / (u * (1 - u) * (1 / n + 1 / m))
+    return np.append(square / (square + CHANCE), 1.0)
 
 
-def train(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], prior: float, steps: int = STEPS) -> np.ndarray:
-    """Weights of the buckets, and the bias behind them."""
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    w, m, v = (np.zeros(BUCKETS + 1) for _ in range(3))
-    free = np.append(telling(positive, unlabelled), True)
-    w[BUCKETS] = np.log(max(prior, 1e-4) / max(1 - prior, 1e-4))
+def risk(weights: np.ndarray, positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], prior: float) -> tuple[float, float, np.ndarray]:
+    """prior * R+(toxic); R-(unlabelled) - prior * R-(toxic); and the slope of what a step lowers.
+
+    That is the sum of both, or the second one's negative where it is below zero.
+    """
+    zp, zu = _margins(weights, *positive), _margins(weights, *unlabelled)
+    p, u = (1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (zp, zu))
 
     def slope(side: tuple[np.ndarray, np.ndarray], each: np.ndarray) -> np.ndarray:
         found, starts = side
-        n = np.diff(starts)
-        out = np.bincount(found, np.repeat(each, n), BUCKETS + 1)
+        out = np.bincount(found, np.repeat(each, np.diff(starts)), BUCKETS + 1)
         out[BUCKETS] = each.sum()
         return out / max(len(each), 1)
 
+    clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    if clean >= 0:
+        g = slope(positive, prior * (p - 1) - prior * p) + slope(unlabelled, u)
+    else:
+        g = CORRECTION * (slope(positive, prior * p) - slope(unlabelled, u))
+    return float(prior * np.logaddexp(0, -zp).mean()), float(clean), g
+
+
+def train(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], prior: float, steps: int = STEPS) -> np.ndarray:
+    """Weights of the buckets, and the bias behind them.
+
+    A weight is its trust times a free number, whose square is what the norm sums.
+    """
+    scale = trust(positive, unlabelled)
+    free, m, v = (np.zeros(BUCKETS + 1) for _ in range(3))
+    free[BUCKETS] = np.log(max(prior, 1e-4) / max(1 - prior, 1e-4))
+    decay = np.append(np.full(BUCKETS, DECAY), 0.0)
     for step in range(1, steps + 1):
-        zp, zu = _margins(w, *positive), _margins(w, *unlabelled)
-        p, u = sigmoid(zp), sigmoid(zu)
-        clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        if clean >= 0:
-            g = slope(positive, prior * (p - 1) - prior * p) + slope(unlabelled, u)
-        else:
-            g = CORRECTION * (slope(positive, prior * p) - slope(unlabelled, u))
-        g = np.where(free, g + DECAY * w, 0)
+        g = risk(scale * free, positive, unlabelled, prior)[2] * scale + decay * free
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return w
+        free = free - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return scale * free
 
 
 def _extract(batches):
@@ -97,7 +112,7 @@ def _extract(batches):
     for batch in slices(batches):
         found, starts = features(raw(batch), cached)
         data = found.astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("unlabelled"), pa.array([data[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], names=["positive", "unlabelled", "found"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("positive", "unlabelled", "point")), pa.array([data[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], names=["positive", "unlabelled", "point", "found"])
 
 
 def _scored(weights: np.ndarray | None):
@@ -120,11 +135,14 @@ def learn(docs: DataFrame, labels: DataFrame, held_out) -> np.ndarray | None:
     sides = [pick(fold.where("toxic = 1"), POSITIVE, "positive"), pick(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))), UNLABELLED, "unlabelled")]
     # both samples are bounded by parameters, so they may be broadcast
     chosen = reduce(lambda a, b: a.join(b, "pick", "full"), sides)
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("pick")).select("text", F.coalesce("positive", F.lit(False)).alias("positive"), F.coalesce("unlabelled", F.lit(False)).alias("unlabelled"))
-    sample = rows.mapInArrow(_extract, "positive boolean, unlabelled boolean, found binary").toPandas()
+    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("pick")).select("text", F.coalesce("positive", F.lit(False)).alias("positive"), F.coalesce("unlabelled", F.lit(False)).alias("unlabelled"), F.xxhash64("pick").alias("point"))
+    sample = stored(rows.mapInArrow(_extract, "positive boolean, unlabelled boolean, point long, found binary"), "toxicity-sample")
 
     def side(name: str) -> tuple[np.ndarray, np.ndarray]:
-        parts = [np.frombuffer(x, np.int32) for x in sample.loc[sample[name], "found"]]
+        sizes = sample.where(name).select("point", F.octet_length("found").alias("size")).toPandas().sort_values("point")
+        fits = sizes["point"][sizes["size"].cumsum() <= BYTES]
+        own = sample.where(name).where(F.col("point") <= int(fits.max())).toPandas().sort_values(["point", "found"]) if len(fits) else sizes.head(0).assign(found=None)
+        parts = [np.frombuffer(x, np.int32) for x in own["found"]]
         return np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
 
     positive, unlabelled = side("positive"), side("unlabelled")
