@@ -93,3 +93,19 @@ def test_shares_out_of_reach_are_stated(spark):
         history, scarce, misfit = mixing.balanced(known, ["clean", "toxic"], {"clean": 0.98, "toxic": 0.02})
     assert scarce == [] and abs(misfit - 0.18) < 1e-3
     assert known.select(mixing.rate(F.col("p"), history, 1.0).alias("r")).where("r > 0.2").count() == 20
+
+
+def test_columns_of_any_name_are_carried_along(corpus):
+    df, domains = corpus
+    odd = ("domain", "pick", "n_tokens", "found", "word", "rate", "copies", "p", "__p", "__n_tokens", "__hits", "__row", "__rate", "__copies", "__copy", "__s0")
+    wide = df
+    for k, c in enumerate(odd):
+        wide = wide.withColumn(c, F.col("doc_id") * 100 + k)
+    goals = {"clean": 0.95, "low": 0.05}
+    out = mixing.mix(wide, domains, goals)
+    assert out.columns == wide.columns
+    rows = out.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in mixing.mix(df, domains, goals).collect())
+    assert all(r[c] == r.doc_id * 100 + k for r in rows for k, c in enumerate(odd))
+    again = mixing.mixing_rates(wide, domains, goals).select("doc_id", "rate").collect()
+    assert sorted(again) == sorted(mixing.mixing_rates(df, domains, goals).select("doc_id", "rate").collect())

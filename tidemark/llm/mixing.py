@@ -20,7 +20,9 @@ the largest weight whole, and a warning states the misfit that is left.
 
 A null or empty text has no tokens and the prior as its posterior.  A domain without labelled rows, or
 without a target, is not fitted; without any above 0, all rates are 1.  Rows with equal texts have equal rates.
-Null ids are never learned from.  An empty table gives an empty result.
+Null ids are never learned from; rows that repeat an id are learned from together, and each is judged by its
+own text.  Of words that tell domains apart equally well the first in order is kept.  Other columns, whatever
+their names, are carried along by `mix` and not looked at.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -80,7 +82,8 @@ class Classifier:
     def __init__(self, docs: DataFrame, domains: DataFrame):
         pick = domains.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(LABELLED).groupBy(F.col("doc_id").alias("pick")).agg(F.min("domain").alias("domain"))
         # at most LABELLED rows, so they may be broadcast
-        sample = stored(docs.join(F.broadcast(pick), docs["doc_id"] == F.col("pick")).select("domain", _tokens().alias("n_tokens"), _features().alias("found")), "mixing-sample")
+        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        sample = stored(own.join(F.broadcast(pick), own["doc_id"] == F.col("pick")).select("domain", _tokens().alias("n_tokens"), _features().alias("found")), "mixing-sample")
         sizes = sample.groupBy("domain").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).collect()
         self.counts, tokens = {r["domain"]: r["n"] for r in sizes}, {r["domain"]: r["tokens"] for r in sizes}
         self.names = sorted(self.counts)
@@ -239,7 +242,9 @@ def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None =
     classifier = Classifier(docs, domains)
     if not classifier.names:
         return docs
-    kept = _rated(stored(classifier.judged(docs), "mixing-posteriors"), classifier, targets, most).where("__copies > 0")
+    # all columns travel as one, so that none of theirs can meet one of ours
+    whole = docs.select("doc_id", "text", F.struct("*").alias("__row"))
+    kept = _rated(stored(classifier.judged(whole).drop("text"), "mixing-posteriors"), classifier, targets, most).where("__copies > 0")
     if most > 1:
         kept = kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return kept.select(*docs.columns)
+    return kept.select("__row.*")
