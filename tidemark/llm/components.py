@@ -2,7 +2,8 @@
 
 Each round every node points its larger neighbours, then its smaller ones, at the smallest node it
 sees; the number of rounds grows with the logarithm of the graph's size.  Only DataFrame operations;
-each round is written to the shared folder, so a lost executor costs one round at most.
+each round is written to the shared folder, so a lost executor costs one round at most, and the one
+before is removed.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import stored
+from tidemark.llm.words import dropped, stored
 
 ROUNDS = 60
 
@@ -27,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: neighbours below a node, and the node, go to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        now = stored(small, "edges")
+        now, before = stored(small, "edges"), now
+        dropped(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:
             break

@@ -136,17 +136,24 @@ def window_texts(bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
 
 
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums of the values from each bound to the next."""
+    """Sums of the values from each bound to the next; of floats each by itself, so that equal texts have equal sums."""
+    if values.dtype.kind == "f":
+        out, some = np.zeros(len(bounds) - 1), bounds[1:] > bounds[:-1]
+        if some.any():
+            out[some] = np.add.reduceat(values, bounds[:-1][some])
+        return out
     total = np.concatenate([[0], np.cumsum(values)])
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
 def shelf(spark) -> str:
-    """The shared folder for tables between jobs: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The shared folder for tables between jobs: spark.checkpoint.dir; a local session may do without."""
     where = spark.conf.get("spark.checkpoint.dir", None) or None
     if where is None and (set_dir := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         where = set_dir.get()
     if where is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         import tempfile
 
         where = "file://" + tempfile.mkdtemp(prefix="tidemark-")
@@ -161,4 +168,13 @@ def stored(df, name: str):
     spark = df.sparkSession
     path = f"{shelf(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*frames) -> None:
+    """Removes the tables of stored() frames that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
