@@ -38,6 +38,11 @@ def test_streak(spark, rows, want):
     assert [r.streak for r in history.failure_streak(df).collect()] == [want]
 
 
+def test_streak_of_full_runs_only(spark):
+    rows = [("1", "a", "full", "failed", T0, 0), ("2", "a", "database_only", "success", T0 + timedelta(hours=1), 0), ("3", "a", "full", "failed", T0 + timedelta(hours=2), 0), ("4", "a", "database_only", "failed", T0 + timedelta(hours=3), 0)]
+    assert [r.streak for r in history.failure_streak(runs(spark, rows)).collect()] == [2]
+
+
 def test_streak_of_nothing(spark):
     assert history.failure_streak(runs(spark, [])).count() == 0
 
@@ -129,14 +134,14 @@ def test_activity(spark):
 
 
 def test_tables_locks_and_codes(spark):
-    tables = spark.createDataFrame([("t1", "MyISAM"), ("t2", "InnoDB"), ("t3", "Aria")], "name string, engine string")
-    lines = spark.createDataFrame([("db.t1\tcheck\tstatus\tOK",), ("db.t2\tcheck\terror\tCorrupt",), ("broken line",)], "line string")
+    tables = spark.createDataFrame([("t1", "MyISAM", 1), ("t2", "InnoDB", 2), ("t3", "Aria", 3), ("a.t4", "Aria", 4), ("t4", "InnoDB", 5)], "name string, engine string, position int")
+    lines = spark.createDataFrame([("db.t1\tcheck\tstatus\tOK",), ("db.t2\tcheck\twarning\tslow",), ("db.t2\tcheck\terror\tCorrupt",), ("db.a.t4\tcheck\tStatus\t ok ",), ("db.t9\tcheck\tstatus\tOK",), ("broken line",)], "line string")
     health = operations.table_health(tables, operations.parse_checks(lines))
-    assert {x.name: x.healthy for x in health.collect()} == {"t1": True, "t2": False, "t3": False}
-    assert {x.name: x.repair for x in operations.repair_gate(health).collect()} == {"t2": False, "t3": False}
+    assert sorted((x.name, x.engine, x.healthy) for x in health.collect()) == [("a.t4", "Aria", True), ("db.t9", "", True), ("t1", "MyISAM", True), ("t2", "InnoDB", False), ("t2", "InnoDB", False)]
+    assert [(x.name, x.repair) for x in operations.repair_gate(health).collect()] == [("t2", False)] * 2
     locks = spark.createDataFrame([("a", True, T0, True), ("b", False, T0, True), ("c", True, T0 + timedelta(hours=5), True), ("d", False, T0, False)], "id string, exclusive boolean, at timestamp, readable boolean")
     got = {x.id: x.meaning for x in operations.lock_conflicts(locks, True, "2026-08-01 13:00:00").collect()}
     assert got == {"a": "stale_exclusive", "b": "remove", "c": "conflict", "d": "invalid"}
     assert {x.id for x in operations.stale_locks(locks, "2026-08-01 13:00:00").collect()} == {"a", "b", "d"}
-    codes = spark.createDataFrame([("",), ("config",), ("weird",)], "c string").select(operations.exit_code(F.col("c")).alias("x"))
-    assert [x.x for x in codes.collect()] == [0, 2, 1]
+    codes = spark.createDataFrame([("",), ("config",), ("weird",), (None,), ("preflight",), ("execution",), ("storage",), ("cancellation",), ("persistence",), ("lock",)], "c string").select(operations.exit_code(F.col("c")).alias("x"))
+    assert [x.x for x in codes.collect()] == [0, 2, 1, 0, 3, 4, 4, 4, 1, 1]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -112,9 +113,24 @@ def headline(status: Column | str, site: Column | str, recovery: Column | None =
     return plain if recovery is None else F.when(recovery, F.concat(F.lit("Backup recovered for "), col(site))).otherwise(plain)
 
 
-def report_description(total: Column, failed: Column, partial: Column) -> Column:
-    """What a report says first: nothing ran, something failed, something was partial, all is well."""
-    return F.when(total == 0, "No backups ran").when(failed > 0, F.concat(plural(failed, "backup"), F.lit(" failed"))).when(partial > 0, F.concat(plural(partial, "backup"), F.lit(" completed with warnings"))).otherwise("All backups completed")
+#: What a report says when nothing ran, when runs failed, when some were incomplete, and when all is well.
+REPORT_TEXTS = (
+    "We have not detected any backup runs for this period.\n\n**Recommended steps:**\n1. Verify that your application schedule or cron job is actively running.\n2. Ensure the {product} history database is accessible.",
+    "Backup activity was recorded, but we detected **{failed} failed run(s)** during this period.\n\n**Recommended steps:**\n1. Check your storage configuration destination (`{storage}`).\n2. Inspect the failed backup logs and attempt to force a backup by running `{command} backup run {site} --force` to ensure the backup process is functioning correctly.",
+    "Backup activity was recorded, but we detected **{partial} incomplete run(s)** during this period. Some source entries were not included.\n\n**Recommended steps:**\n1. Check the source data and local backup logs.\n2. Run `{command} backup run {site} --force` to complete the snapshot.",
+    "All scheduled backup activities were recorded successfully for this period. No further action is required.",
+)
+
+
+def report_description(total: Column, failed: Column, partial: Column, storage: Column | str, site: Column | str, product: str = "Backup", command: str = "backup") -> Column:
+    """What a report says: nothing ran, something failed, something was incomplete, all is well; storage and site are the first ones.
+
+    product and command name the program whose history it is and the command that runs it.
+    """
+    known = {"failed": failed.cast("string"), "partial": partial.cast("string"), "storage": col(storage), "site": col(site), "product": F.lit(product), "command": F.lit(command)}
+    filled = lambda words: F.concat(*(known[x[1:-1]] if x[:1] == "{" else F.lit(x) for x in re.split(r"(\{[a-z]+\})", words) if x))
+    none, bad, some, well = map(filled, REPORT_TEXTS)
+    return F.when(total == 0, none).when(failed > 0, bad).when(partial > 0, some).otherwise(well)
 
 
 def quote_identifier(name: Column | str) -> Column:

@@ -78,11 +78,12 @@ def with_last_good(runs: DataFrame) -> DataFrame:
 
 
 def failure_streak(runs: DataFrame) -> DataFrame:
-    """One row per site: bad runs in a row up to the newest one.
+    """One row per site: bad full runs in a row up to the newest one; runs of other scopes don't count.
 
     Runs of 24 hours up to the newest are looked at, newest first; the newest counts whatever it is;
     a good run or a gap of more than 24 hours ends the streak.
     """
+    runs = runs.where("scope = 'full'")
     anchor = runs.groupBy("site_name").agg(F.max("started_at").alias("anchor"))
     near = runs.join(anchor, "site_name").where(F.col("started_at") >= F.col("anchor") - F.expr(DAY))
     w = W.partitionBy("site_name").orderBy(F.col("started_at").desc(), F.col("id"))

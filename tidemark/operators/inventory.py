@@ -10,28 +10,33 @@ from pyspark.sql import functions as F
 MARKER = ".backup-complete"
 DELETE_BATCH = 1000
 
-LONG_DATE = r"^(\d{2}-[A-Z][a-z]+-\d{4})$"
-SHORT_DATE = r"^(\d{4}-\d{2}-\d{2})$"
-LOCAL_TIME, UTC_TIME = r"^(\d{2}\.\d{2}\.\d{2})", r"^(\d{2}-\d{2}-\d{2})"
+#: Names of the months in keys.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_LONG, _SHORT = r"\d{2}-[A-Z][a-z]+-\d{4}", r"\d{4}-\d{2}-\d{2}"
+_DOTS, _DASHES = r"\d{2}\.\d{2}\.[0-5]\d", r"\d{2}-\d{2}-[0-5]\d"
 
 
-def _dated(df: DataFrame) -> DataFrame:
-    """df(__date) with __day: a date in one of the two forms, and only if it is written the canonical way; null otherwise.
+def _moment(key: Column, seconds: Column | None = None) -> Column:
+    """The time that a key of a date, a slash and a time says, whichever marks stand between; null where there is none such.
 
-    Each step is a column of its own, so that generated code stays small.
+    Parts are taken by their places, each once, so that generated code stays small.
     """
-    out = df.withColumns({"__long": F.expr("try_to_timestamp(__date, 'dd-MMMM-yyyy')"), "__short": F.expr("try_to_timestamp(__date, 'yyyy-MM-dd')")})
-    day = (
-        F.when(F.col("__date").rlike(LONG_DATE) & (F.date_format("__long", "dd-MMMM-yyyy") == F.col("__date")), F.col("__long"))
-        .when(F.col("__date").rlike(SHORT_DATE) & (F.date_format("__short", "yyyy-MM-dd") == F.col("__date")), F.col("__short"))
-    )
-    return out.withColumn("__day", day.cast("timestamp_ntz")).drop("__long", "__short")
+    long = F.substring(key, 3, 1) == "-"
+    slash = F.instr(key, "/")
+    number = lambda at, n: F.substring(key, at, F.lit(n)).try_cast("int")
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(key, F.lit(4), slash - 9)).cast("int")
+    year, month, day = F.when(long, number(slash - 4, 4)).otherwise(number(F.lit(1), 4)), F.when(long, month).otherwise(number(F.lit(6), 2)), F.when(long, number(F.lit(1), 2)).otherwise(number(F.lit(9), 2))
+    second = F.substring(key, slash + 7, F.lit(2)).try_cast("decimal(18,6)") if seconds is None else seconds
+    return F.try_make_timestamp_ntz(year, month, day, number(slash + 1, 2), number(slash + 4, 2), second)
 
 
-def _seconds(time: Column) -> Column:
-    """Seconds of a valid HH?MM?SS, null otherwise."""
-    h, m, s = (F.substring(time, k, 2).cast("int") for k in (1, 4, 7))
-    return F.when((h < 24) & (m < 60) & (s < 60), h * 3600 + m * 60 + s)
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row, from columns that are: nothing is folded into what stands above or below."""
+    return df.drop(name).select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
+def _to_utc(at: Column, zone: str) -> Column:
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), at)
 
 
 def parse_packages(objects: DataFrame, zone: str = "UTC") -> DataFrame:
@@ -40,41 +45,31 @@ def parse_packages(objects: DataFrame, zone: str = "UTC") -> DataFrame:
     Dots mean local time of the zone, with the long date only; dashes mean UTC, with either date.  A set
     ends at the first dash after the time.
     """
-    out = objects.withColumn("__date", F.element_at(F.split("key", "/"), 1)).withColumn("__name", F.when(F.size(F.split("key", "/")) == 2, F.element_at(F.split("key", "/"), 2)))
-    dotted = F.col("__name").rlike(LOCAL_TIME.rstrip(")") + r")-")
-    dashed = F.col("__name").rlike(UTC_TIME + "-")
-    time = F.substring("__name", 1, 8)
-    out = _dated(out).withColumns({"__dotted": dotted, "__dashed": dashed, "__time": _seconds(time)})
-    dotted, dashed = F.col("__dotted"), F.col("__dashed")
-    at = F.col("__day") + F.make_dt_interval(secs=F.col("__time").cast("decimal(18,6)"))
-    at = F.when(dotted & F.col("__date").rlike(LONG_DATE), F.convert_timezone(F.lit(zone), F.lit("UTC"), at)).when(dashed, at)
-    rest = F.substring("__name", 10, 1 << 30)
-    run = F.when(F.instr(rest, "-") > 0, F.concat(F.substring("__name", 1, 9), F.substring_index(rest, "-", 1))).otherwise(F.substring("__name", 1, 8))
-    return out.withColumn("created_at", at).withColumn("set_key", F.when(F.col("created_at").isNotNull(), F.concat_ws("/", "__date", run))).drop("__date", "__name", "__day", "__time", "__dotted", "__dashed")
+    key = F.col("key")
+    good = key.rlike(rf"^({_LONG}/{_DOTS}|({_LONG}|{_SHORT})/{_DASHES})-[^/]*$")
+    at = F.when(good, _moment(key))
+    name = F.instr("key", "/") + 1
+    local = F.substring("key", name + 2, F.lit(1)) == "."
+    rest = F.substring("key", name + 9, F.length("key"))
+    end = F.instr(rest, "-")
+    whole = F.substring("key", F.lit(1), F.when(end > 0, name + 7 + end).otherwise(name + 7))
+    out = _once(objects, "created_at", F.when(local, _to_utc(at, zone)).otherwise(at))
+    return out.withColumn("set_key", F.when(F.col("created_at").isNotNull(), whole))
 
 
 def parse_set(sets: DataFrame, zone: str = "UTC") -> DataFrame:
     """sets(set_key) with created_at of current and legacy forms, null where it is none of them."""
-    parts = F.split("set_key", "/")
-    out = sets.withColumn("__date", F.element_at(parts, 1)).withColumn("__time", F.when(F.size(parts) == 2, F.element_at(parts, 2)))
-    body, tail = F.substring("__time", 1, 8), F.substring("__time", 9, 1 << 30)
-    out = _dated(out)
-    at = F.col("__day") + F.make_dt_interval(secs=_seconds(body).cast("decimal(18,6)"))
-    dotted = F.col("__time").rlike(LOCAL_TIME + "(-|$)") & F.col("__date").rlike(LONG_DATE)
-    dashed = F.col("__time").rlike(UTC_TIME + "(-.*)?$")
-    fraction = F.col("__time").rlike(UTC_TIME + r"\.\d{9}$") & F.col("__date").rlike(LONG_DATE)
-    iso = F.col("set_key").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}-\d{2}-\d{2}\.\d{9}Z$")
-    iso_at = F.expr("try_to_timestamp(concat(substring(set_key, 1, 10), ' ', replace(substring(set_key, 12, 8), '-', ':'), substring(set_key, 20, 7)), 'yyyy-MM-dd HH:mm:ss.SSSSSS')").cast("timestamp_ntz")
-    # a dash form with more behind it is a current key; a short date needs nothing, or a dash, behind the time
-    whole = (F.length("__time") == 8) | (tail.startswith("-"))
-    nanos = F.make_dt_interval(secs=F.concat(F.lit("0"), F.substring("__time", 9, 7)).cast("decimal(18,6)"))
-    found = (
-        F.when(iso, iso_at)
-        .when(dotted, F.convert_timezone(F.lit(zone), F.lit("UTC"), at))
-        .when(fraction, at + nanos)
-        .when(dashed & whole, at)
-    )
-    return out.withColumn("created_at", found).drop("__date", "__time", "__day")
+    key = F.col("set_key")
+    iso = key.rlike(rf"^{_SHORT}T{_DASHES}\.\d{{9}}Z$")
+    dotted = key.rlike(rf"^{_LONG}/{_DOTS}(-[^/]*)?$")
+    dashed = key.rlike(rf"^({_LONG}|{_SHORT})/{_DASHES}(-[^/]*)?$")
+    fraction = key.rlike(rf"^{_LONG}/{_DASHES}\.\d{{9}}$")
+    # all forms are brought to date/time; a fraction is cut to microseconds
+    plain = F.when(iso, F.concat(F.substring(key, 1, 10), F.lit("/"), F.substring(key, 12, 8))).when(dotted | dashed | fraction, key)
+    behind = F.instr(key, ".")
+    part = F.concat(F.substring(plain, F.instr(plain, "/") + 7, F.lit(2)), F.when(iso | fraction, F.substring(key, behind, F.lit(7))).otherwise(F.lit("")))
+    at = _moment(plain, part.try_cast("decimal(18,6)"))
+    return _once(sets, "created_at", F.when(dotted, _to_utc(at, zone)).otherwise(at))
 
 
 def format_key(created_at: Column, name: Column, run_id: Column | None, zone: str) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 STALE = "INTERVAL '30' MINUTE"
 REPAIRABLE = ("myisam", "aria")
-EXIT_CODES = {"config": 2, "lock": 3, "not_found": 4}
+#: The exit code of each category of errors; any other category exits with 1.
+EXIT_CODES = {"config": 2, "preflight": 3, "execution": 4, "storage": 4, "cancellation": 4}
 
 
 def lock_conflicts(locks: DataFrame, mine_exclusive: bool, now) -> DataFrame:
@@ -35,14 +36,18 @@ def healthy(kind: str = "type", message: str = "message"):
 
 
 def table_health(tables: DataFrame, checks: DataFrame) -> DataFrame:
-    """tables(name, engine) with the health of their check: a check names a table, or ends with a dot and its name."""
-    own = checks.withColumn("__name", F.substring_index("table_name", ".", -1)).withColumn("__exact", F.col("table_name") == F.col("__name"))
-    first = own.groupBy("__name").agg(F.bool_and(healthy()).alias("ok"), F.max_by("message", F.struct("__exact", "message")).alias("message"))
-    return tables.join(first, tables["name"] == first["__name"], "left").select("name", "engine", F.coalesce("ok", F.lit(False)).alias("healthy"), "message")
+    """A row for each of checks(table_name, op, type, message): its table's name and engine, and whether it says ok.
+
+    A check is about the first of tables(name, engine, position) whose name it gives, alone or behind a dot;
+    without one it keeps its own name and has no engine.
+    """
+    ends = F.expr("transform(sequence(1, size(split(table_name, '[.]'))), k -> substring_index(table_name, '.', -k))")
+    first = checks.select("table_name").distinct().select("table_name", F.explode(ends).alias("__end")).join(tables.select(F.col("name").alias("__end"), F.struct("position", F.col("name").alias("table"), "engine").alias("t")), "__end").groupBy("table_name").agg(F.min("t").alias("t"))
+    return checks.join(first, "table_name", "left").select(F.coalesce("t.table", "table_name").alias("name"), F.coalesce("t.engine", F.lit("")).alias("engine"), *(c for c in checks.columns if c != "table_name"), healthy().alias("healthy"))
 
 
 def repair_gate(health: DataFrame) -> DataFrame:
-    """Unhealthy tables, and whether they are repaired: all, and only if every one's engine can be."""
+    """Unhealthy checks, and whether their tables are repaired: all, and only if every one's engine can be."""
     sick = health.where("NOT healthy").withColumn("repairable", F.lower("engine").isin(*REPAIRABLE))
     gate = sick.agg(F.coalesce(F.bool_and("repairable"), F.lit(True)).alias("repair"))
     return sick.crossJoin(F.broadcast(gate))  # the gate is one row
@@ -97,6 +102,7 @@ def rates(progress: DataFrame) -> DataFrame:
 
 
 def exit_code(category):
+    """What a command exits with: 0 without an error."""
     out = F.when(category.isNull() | (category == ""), 0)
     for name, code in EXIT_CODES.items():
         out = out.when(category == name, code)

@@ -92,7 +92,7 @@ def last_good_asof(v):
 
 
 @query("event_runs", """
-, near AS (SELECT e.*, max(started_at) OVER (PARTITION BY site_name) AS anchor FROM event_runs e),
+, near AS (SELECT e.*, max(started_at) OVER (PARTITION BY site_name) AS anchor FROM event_runs e WHERE scope = 'full'),
 steps AS (SELECT *, lag(started_at) OVER w AS later FROM near WHERE started_at >= anchor - INTERVAL 24 HOUR WINDOW w AS (PARTITION BY site_name ORDER BY started_at DESC, id)),
 ends AS (SELECT *, CASE WHEN later IS NOT NULL AND (status IN ('success', 'no_change') OR later - started_at > INTERVAL 24 HOUR) THEN 1 ELSE 0 END AS e FROM steps),
 ended AS (SELECT *, sum(e) OVER (PARTITION BY site_name ORDER BY started_at DESC, id ROWS UNBOUNDED PRECEDING) AS n FROM ends)
@@ -508,23 +508,33 @@ def corrupt_blobs(v):
 
 # operations -------------------------------------------------------------------------------------------------------
 
-CHECKS = ", checks AS (SELECT full_name AS table_name, CASE WHEN p_size % 9 = 0 THEN 'error' ELSE 'status' END AS type, CASE WHEN p_size % 7 = 0 THEN 'Corrupt' ELSE ' OK ' END AS message, name FROM tables WHERE p_partkey % 50 <> 0) "
+CHECKS = """, checks AS (SELECT CASE WHEN p_partkey % 70 = 1 THEN 'gone.' || full_name || 'x' ELSE full_name END AS table_name, CASE WHEN p_size % 9 = 0 THEN 'error' ELSE 'status' END AS type, CASE WHEN p_size % 7 = 0 THEN 'Corrupt' ELSE ' OK ' END AS message FROM tables WHERE p_partkey % 50 <> 0),
+named AS (SELECT c.table_name, arg_min(t.name, t.position) AS name, arg_min(t.engine, t.position) AS engine FROM (SELECT DISTINCT table_name FROM checks) c JOIN tables t ON c.table_name = t.name OR ends_with(c.table_name, '.' || t.name) GROUP BY c.table_name),
+health AS (SELECT coalesce(n.name, c.table_name) AS name, coalesce(n.engine, '') AS engine, c.message, lower(trim(c.type)) = 'status' AND lower(trim(c.message)) = 'ok' AS healthy FROM checks c LEFT JOIN named n ON c.table_name = n.table_name) """
 
 
 def checks(v):
-    return v.tables.where("p_partkey % 50 <> 0").selectExpr("full_name AS table_name", "CASE WHEN p_size % 9 = 0 THEN 'error' ELSE 'status' END AS type", "CASE WHEN p_size % 7 = 0 THEN 'Corrupt' ELSE ' OK ' END AS message")
+    return v.tables.where("p_partkey % 50 <> 0").selectExpr("CASE WHEN p_partkey % 70 = 1 THEN 'gone.' || full_name || 'x' ELSE full_name END AS table_name", "CASE WHEN p_size % 9 = 0 THEN 'error' ELSE 'status' END AS type", "CASE WHEN p_size % 7 = 0 THEN 'Corrupt' ELSE ' OK ' END AS message")
 
 
-@query("tables", CHECKS + "SELECT t.name, t.engine, coalesce(lower(trim(c.type)) = 'status' AND lower(trim(c.message)) = 'ok', false) AS healthy FROM tables t LEFT JOIN checks c ON t.name = c.name")
+@query("tables", CHECKS + "SELECT name, engine, message, healthy FROM health")
 def table_health(v):
-    return operations.table_health(v.tables, checks(v)).select("name", "engine", "healthy")
+    return operations.table_health(v.tables, checks(v)).select("name", "engine", "message", "healthy")
 
 
-@query("tables", CHECKS + ", h AS (SELECT t.name, t.engine FROM tables t LEFT JOIN checks c ON t.name = c.name WHERE NOT coalesce(lower(trim(c.type)) = 'status' AND lower(trim(c.message)) = 'ok', false)) SELECT name, lower(engine) IN ('myisam', 'aria') AS repairable, (SELECT bool_and(lower(engine) IN ('myisam', 'aria')) FROM h) AS repair FROM h")
+@query("tables", CHECKS + "SELECT name, lower(engine) IN ('myisam', 'aria') AS repairable, (SELECT bool_and(lower(engine) IN ('myisam', 'aria')) FROM health WHERE NOT healthy) AS repair FROM health WHERE NOT healthy")
 def repair_gate(v):
     return operations.repair_gate(operations.table_health(v.tables, checks(v))).select("name", "repairable", "repair")
 
 
+CATEGORY = "CASE seq % 9 WHEN 0 THEN 'config' WHEN 1 THEN 'preflight' WHEN 2 THEN 'execution' WHEN 3 THEN 'storage' WHEN 4 THEN 'persistence' WHEN 5 THEN 'cancellation' WHEN 6 THEN 'internal' WHEN 7 THEN '' END"
+
+
+@query("runs", f", c AS (SELECT id, {CATEGORY} AS category FROM runs) SELECT id, CASE WHEN category IS NULL OR category = '' THEN 0 WHEN category = 'config' THEN 2 WHEN category = 'preflight' THEN 3 WHEN category IN ('execution', 'storage', 'cancellation') THEN 4 ELSE 1 END AS code FROM c")
+def exit_codes(v):
+    return v.runs.select("id", operations.exit_code(F.expr(CATEGORY)).alias("code"))
+
+
 @query("runs", """SELECT id, CASE WHEN seq % 11 = 0 THEN 'invalid' WHEN TIMESTAMP '1998-01-01' - started_at > INTERVAL 30 MINUTE THEN CASE WHEN seq % 2 = 0 THEN 'stale_exclusive' ELSE 'remove' END ELSE 'conflict' END AS meaning FROM runs""")
 def lock_conflicts(v):
     locks = v.runs.select("id", (F.col("seq") % 2 == 0).alias("exclusive"), F.col("started_at").alias("at"), (F.col("seq") % 11 != 0).alias("readable"))
@@ -607,6 +617,18 @@ def human_sizes(v):
     return v.packages.select("object_key", "line", "part", text.human_bytes("size").alias("human"))
 
 
+DESCRIBED = ", d AS (SELECT site_name, count(*) FILTER (seq % 3 <> 0) AS total, count(*) FILTER (status = 'failed' AND seq % 3 <> 0) AS failed, count(*) FILTER (status = 'partial' AND seq % 3 <> 0) AS partial FROM runs WHERE strftime(started_at, '%Y-%m') = '1997-06' GROUP BY site_name) "
+
+
+@query("runs", DESCRIBED + """SELECT site_name, CASE WHEN total = 0 THEN 'We have not detected any backup runs for this period.' || chr(10) || chr(10) || '**Recommended steps:**' || chr(10) || '1. Verify that your application schedule or cron job is actively running.' || chr(10) || '2. Ensure the P history database is accessible.'
+ WHEN failed > 0 THEN 'Backup activity was recorded, but we detected **' || failed || ' failed run(s)** during this period.' || chr(10) || chr(10) || '**Recommended steps:**' || chr(10) || '1. Check your storage configuration destination (`dest-1`).' || chr(10) || '2. Inspect the failed backup logs and attempt to force a backup by running `p backup run ' || site_name || ' --force` to ensure the backup process is functioning correctly.'
+ WHEN partial > 0 THEN 'Backup activity was recorded, but we detected **' || partial || ' incomplete run(s)** during this period. Some source entries were not included.' || chr(10) || chr(10) || '**Recommended steps:**' || chr(10) || '1. Check the source data and local backup logs.' || chr(10) || '2. Run `p backup run ' || site_name || ' --force` to complete the snapshot.'
+ ELSE 'All scheduled backup activities were recorded successfully for this period. No further action is required.' END AS description FROM d""")
+def report_descriptions(v):
+    own = v.runs.where("date_format(started_at, 'yyyy-MM') = '1997-06'").groupBy("site_name").agg(F.count_if(F.expr("seq % 3 <> 0")).alias("total"), F.count_if(F.expr("status = 'failed' AND seq % 3 <> 0")).alias("failed"), F.count_if(F.expr("status = 'partial' AND seq % 3 <> 0")).alias("partial"))
+    return own.select("site_name", text.report_description(F.col("total"), F.col("failed"), F.col("partial"), F.lit("dest-1"), "site_name", "P", "p").alias("description"))
+
+
 @query("runs", "SELECT id, CASE status WHEN 'success' THEN 'Backup succeeded' WHEN 'failed' THEN 'Backup failed' WHEN 'partial' THEN 'Backup incomplete' WHEN 'cancelled' THEN 'Backup cancelled' WHEN 'skipped' THEN 'Backup skipped' WHEN 'no_change' THEN 'No changes detected' ELSE status END || ' for ' || site_name AS headline FROM runs")
 def headlines(v):
     return v.runs.select("id", text.headline("status", "site_name").alias("headline"))

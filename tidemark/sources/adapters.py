@@ -44,7 +44,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "site_destinations": (("nation", "region"), """
         SELECT 'site-' || CAST(n_nationkey AS STRING) AS site_name, 'dest-' || CAST(r_regionkey AS STRING) AS destination FROM nation, region WHERE (n_nationkey + r_regionkey) % 2 = 0"""),
     "event_runs": (("events",), """
-        SELECT CAST(event_id AS STRING) AS id, 'site-' || CAST(user_id AS STRING) AS site_name, 'full' AS scope,
+        SELECT CAST(event_id AS STRING) AS id, 'site-' || CAST(user_id AS STRING) AS site_name, CASE WHEN event_id % 5 = 2 THEN 'database_only' ELSE 'full' END AS scope,
                CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'skipped' ELSE 'partial' END AS status,
                event_id % 7 = 0 AS forced, ts AS started_at FROM events"""),
     "objects": (("runs",), """
@@ -70,7 +70,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "locks": (("runs",), """
         SELECT site_name, CAST(substring(site_name, 6) AS INT) % 3 <> 0 AS verified, CAST(1000 + CAST(substring(site_name, 6) AS INT) % 20 AS BIGINT) AS pid, started_at + INTERVAL '1' SECOND * (CAST(substring(site_name, 6) AS INT) % 2) AS acquired_at
         FROM (SELECT site_name, max(started_at) AS started_at FROM runs WHERE status = 'running' GROUP BY site_name) l WHERE CAST(substring(site_name, 6) AS INT) < 30"""),
-    "tables": (("part",), "SELECT 'db.' || CAST(p_partkey AS STRING) AS full_name, CAST(p_partkey AS STRING) AS name, CASE p_partkey % 4 WHEN 0 THEN 'InnoDB' WHEN 1 THEN 'MyISAM' WHEN 2 THEN 'Aria' ELSE 'aria' END AS engine, p_size, p_partkey FROM part"),
+    "tables": (("part",), "SELECT CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'db.' END || CASE WHEN p_partkey % 20 = 0 THEN 'old.' ELSE '' END || CAST(p_partkey AS STRING) AS full_name, CASE WHEN p_partkey % 20 = 0 THEN 'old.' ELSE '' END || CAST(p_partkey AS STRING) AS name, p_partkey AS position, CASE p_partkey % 4 WHEN 0 THEN 'InnoDB' WHEN 1 THEN 'MyISAM' WHEN 2 THEN 'Aria' ELSE 'aria' END AS engine, p_size, p_partkey FROM part"),
 }
 
 
