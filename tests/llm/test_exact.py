@@ -58,3 +58,14 @@ def test_dedup_keeps_columns_and_empty_tables(spark):
     assert out.columns == df.columns
     assert sorted(r.doc_id for r in out.collect()) == [1, 3]
     assert exact.exact_groups(docs(spark, [])).count() == 0
+
+
+def test_columns_of_any_name_are_carried_along(spark):
+    from pyspark.sql import functions as F
+
+    wide = docs(spark, TEXTS)
+    for c in ("__sha", "__gone", "__row", "__id", "kept", "keep_id", "digest", "packed"):
+        wide = wide.withColumn(c, F.col("doc_id") + 7)
+    rows = exact.exact_dedup(wide).collect()
+    assert rows[0].__fields__ == wide.columns and all(r["__sha"] == r.doc_id + 7 for r in rows)
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in exact.exact_dedup(docs(spark, TEXTS)).collect())

@@ -95,3 +95,14 @@ def test_near_dedup_with_null_and_repeated_ids(spark):
     got = [(r.doc_id, r.text) for r in shinglejoin.near_dedup(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect()]
     assert sorted(map(repr, got[:])) == sorted(map(repr, [rows[k] for k in (0, 2, 3, 5, 6)] + [r for r in got if r in rows[7:]]))
     assert sum(r in rows[7:9] for r in got) == 1 and sum(r in rows[9:] for r in got) == 1
+
+
+def test_columns_of_any_name_are_carried_along(spark):
+    from pyspark.sql import functions as F
+
+    wide = docs(spark, ["a b c d e f", "A b c d e f", None, "z"])
+    for c in ("__key", "__row", "name", "n_shingles", "component_id", "bitmap", "size", "list", "class"):
+        wide = wide.withColumn(c, F.col("doc_id") + 7)
+    rows = shinglejoin.near_dedup(wide).collect()
+    assert rows[0].__fields__ == wide.columns and sorted((r.doc_id, r["__key"]) for r in rows) == [(0, 7), (2, 9), (3, 10)]
+    assert shinglejoin.similar_groups(wide).count() == 4

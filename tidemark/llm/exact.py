@@ -249,6 +249,7 @@ def exact_groups(docs: DataFrame, memtable: int = MEMTABLE, digest_bytes: int =
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    drop = exact_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha")).distinct()
-    marked = docs.withColumn("__sha", F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256))
-    return marked.join(drop, marked["doc_id"].eqNullSafe(drop["__gone"]) & (marked["__sha"] == drop["__sha"]), "left_anti").select(*docs.columns)
+    drop = exact_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__gone_sha")).distinct()
+    # all columns travel as one, so that none of theirs can meet one of ours
+    marked = docs.select(F.col("doc_id").cast("long").alias("__id"), F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256).alias("__sha"), F.struct("*").alias("__row"))
+    return marked.join(drop, F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__sha") == F.col("__gone_sha")), "left_anti").select("__row.*")

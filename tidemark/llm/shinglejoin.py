@@ -608,11 +608,12 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     only a doc_id, null or not, are judged each by its own text.  Null ids are larger than all others; of
     documents of a group with one id the one with the least hash stays.
     """
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    # all columns travel as one, so that none of theirs can meet one of ours
+    keyed = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("__key"), "doc_id", "text", F.struct("*").alias("__row"))
     groups = similar_groups(keyed.select(F.col("__key").alias("doc_id"), "text")).where("n_shingles > 0")
     found = stored(groups.select(F.col("doc_id").alias("__key"), "component_id").distinct(), "shingle-groups")
     own = keyed.select("__key", F.col("doc_id").cast("long").alias("id")).distinct()
     first = found.join(own, "__key").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__key")).alias("first"))
     # by keys, not by groups, as a group may have any number of rows
     gone = found.select("__key").join(first.select("first.__key"), "__key", "left_anti")
-    return keyed.join(gone, "__key", "left_anti").select(*docs.columns)
+    return keyed.select("__key", "__row").join(gone, "__key", "left_anti").select("__row.*")
