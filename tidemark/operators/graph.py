@@ -13,12 +13,17 @@ LEVELS = 1000
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared checkpoint folder; one of our own where none is set, as in tests."""
+    """Cuts lineage in the shared checkpoint folder; a local session may do with one of our own, as tests do."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/tidemark-{uuid.uuid4().hex}")
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            if not context.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+            import tempfile
+
+            where = f"{tempfile.gettempdir()}/tidemark-{uuid.uuid4().hex}"
+        context.setCheckpointDir(where)
     return df.checkpoint()
 
 
