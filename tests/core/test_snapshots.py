@@ -1,4 +1,5 @@
 import hashlib
+import json
 from collections import defaultdict
 from datetime import datetime
 
@@ -144,3 +145,26 @@ def test_chunks():
     for place in range(64):
         got ^= int(t[place][window[63 - place]])
     assert got == want
+
+
+def test_deep_trees(spark):
+    """Fifty levels: every directory gets its tree, and each follows from the one below."""
+    names = [f"d{k}" for k in range(49)]
+    files = spark.createDataFrame([("/" + "/".join([*names, "f"]), "i", 7), ("/d0/g", "j", 1)], "path string, id string, size bigint")
+    found = {r.path: r.tree for r in snapshots.build_trees(files, 50).collect()}
+    below, size = {"name": "f", "type": "file", "id": "i", "size": 7}, 7
+    for k in range(49, -1, -1):
+        nodes = [below] + ([{"name": "g", "type": "file", "id": "j", "size": 1}] if k == 1 else [])
+        size += 1 if k == 1 else 0
+        tree = hashlib.sha256((json.dumps({"nodes": nodes}, separators=(",", ":")) + "\n").encode()).hexdigest()
+        assert found.pop("".join(f"/{n}" for n in names[:k])) == tree
+        below = {"name": names[k - 1], "type": "dir", "id": tree, "size": size}
+    assert not found
+
+
+def test_parents_at_equal_times_and_without_snapshots(spark):
+    at = lambda d: datetime(2026, 1, d)
+    old = spark.createDataFrame([("z", at(2), ["/s"], None), ("y", at(2), ["/s"], None), ("x", at(1), ["/s"], ["e"])], "id string, time timestamp, paths array<string>, excludes array<string>")
+    wanted = spark.createDataFrame([("same", ["/s"], None, at(2)), ("later", ["/s"], [], at(3)), ("other", ["/s"], ["e"], at(3))], "key string, paths array<string>, excludes array<string>, before timestamp")
+    assert {r.key: r.parent for r in snapshots.parent_snapshot(wanted, old).collect()} == {"same": None, "later": "y", "other": "x"}
+    assert {r.key: r.parent for r in snapshots.parent_snapshot(wanted, old.limit(0)).collect()} == {"same": None, "later": None, "other": None}

@@ -111,3 +111,20 @@ def root_name(path: Column | str) -> Column:
     """The last name of a path; `root` for the root itself."""
     clean = F.regexp_replace(col(path), "/+$", "")
     return F.when(clean == "", "root").otherwise(F.substring_index(clean, "/", -1))
+
+
+def repository_prefix(site: Column, server: Column, product: str = "backups", old: str = "repository") -> Column:
+    """Where a site's repository lies: below the server's folder, or for repositories without one in the old folder."""
+    return F.when(F.coalesce(server, F.lit("")) == "", join_prefix(F.lit(old), site)).otherwise(join_prefix(F.lit(product), server, site, F.lit("incremental-backup")))
+
+
+def repository_url(storages: DataFrame, product: str = "backups", old: str = "repository") -> Column:
+    """The location of a repository by storages(type, directory, bucket, endpoint, prefix, site, server); null if it can't be told."""
+    text = lambda c: F.coalesce(storages[c], F.lit(""))
+    below = repository_prefix(storages["site"], storages["server"], product, old)
+    end = F.regexp_replace(text("endpoint"), "/+$", "")
+    host = F.when(end == "", "s3.amazonaws.com").when(end.rlike("^https?://"), end).otherwise(F.concat(F.lit("https://"), end))
+    local = F.concat(F.regexp_replace(text("directory"), "/+$", ""), F.lit("/"), below)
+    remote = F.concat(F.lit("s3:"), host, F.lit("/"), text("bucket"), F.lit("/"), join_prefix(text("prefix"), below))
+    told = text("site") != ""
+    return F.when(told & (storages["type"] == "local") & (text("directory") != ""), local).when(told & storages["type"].isin("s3", "r2") & (text("bucket") != ""), remote)

@@ -67,6 +67,11 @@ def plural(n: Column | str, one: str, many: str | None = None) -> Column:
     return F.concat(n.cast("string"), F.when(n == 1, F.lit(f" {one}")).otherwise(F.lit(f" {many or one + 's'}")))
 
 
+def items_size(count: Column | str, size: Column | str) -> Column:
+    """`3 items (2.1 GiB)`; empty for none."""
+    return F.when(col(count) <= 0, "").otherwise(F.concat(plural(count, "item"), F.lit(" ("), human_bytes(size), F.lit(")")))
+
+
 def redact(text: Column | str) -> Column:
     """URLs, values of sensitive names and absolute paths give way to marks."""
     out = F.regexp_replace(col(text), URL, "<redacted-url>")
@@ -113,6 +118,38 @@ def headline(status: Column | str, site: Column | str, recovery: Column | None =
     return plain if recovery is None else F.when(recovery, F.concat(F.lit("Backup recovered for "), col(site))).otherwise(plain)
 
 
+#: What a notification says of a run that recovered, by its status, and by the category of its error.
+RECOVERED = "A complete backup is available again. The previous backup incident has recovered."
+SUCCEEDED = "The backup completed successfully."
+PARTIAL = "The snapshot was saved, but {0} source entries could not be read. Run the backup again to complete it."
+TOO_SOON = "No backup was created because minimum_interval has not elapsed since the last successful backup."
+IDENTICAL = "The new backup is identical to the last one."
+IDLE = " Likely an idle app, or the database dump silently failed."
+STOPPED = "The backup was stopped before it finished."
+FAILURES = {
+    "config": "A setting needs attention. The backup configuration was rejected, so the backup did not run.",
+    "preflight": "The backup did not start. A check before the backup failed.",
+    "execution": "The backup ended with an execution error.",
+    "storage": "The backup ran but could not be saved to its destination.",
+    "persistence": "The backup finished but its result could not be recorded in the history database.",
+}
+UNEXPECTED = "An unexpected problem stopped the backup."
+
+
+def description(status: Column, category: Column, items: Column, size: Column, skipped: Column, recovery: Column, databases: Column) -> Column:
+    """The paragraph of a notification: what became of a run, and what it prepared; anchors of unchanged runs aren't told."""
+    prepared = F.when(items > 0, F.concat(F.lit(" "), items_size(items, size), F.when(items == 1, " was prepared.").otherwise(" were prepared."))).otherwise("")
+    failure = F.when(status == "cancelled", STOPPED)
+    for name, words in FAILURES.items():
+        failure = failure.when(category == name, words)
+    head, tail = PARTIAL.split("{0}")
+    return (
+        F.when(recovery, RECOVERED).when(status == "success", F.concat(F.lit(SUCCEEDED), prepared)).when(status == "partial", F.concat(F.lit(head), skipped.cast("string"), F.lit(tail)))
+        .when((status == "skipped") & (category == "minimum_interval"), TOO_SOON).when(status == "no_change", F.concat(F.lit(IDENTICAL), F.when(databases, IDLE).otherwise("")))
+        .otherwise(F.concat(failure.otherwise(UNEXPECTED), prepared))
+    )
+
+
 #: What a report says when nothing ran, when runs failed, when some were incomplete, and when all is well.
 REPORT_TEXTS = (
     "We have not detected any backup runs for this period.\n\n**Recommended steps:**\n1. Verify that your application schedule or cron job is actively running.\n2. Ensure the {product} history database is accessible.",

@@ -75,6 +75,11 @@ def sweep_plan(entries: DataFrame, pack_files: DataFrame, live: DataFrame) -> Da
     return every.select("pack_id", action.alias("action"), F.coalesce("size", F.lit(0)).alias("bytes"))
 
 
+def reclaimed(plan: DataFrame) -> DataFrame:
+    """One row for a sweep_plan: packs that go, with or without a file, and the bytes of their files."""
+    return plan.where("action <> 'keep'").agg(F.count("*").alias("packs_removed"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes_reclaimed"))
+
+
 def forget(snapshots: DataFrame, tag: str, keep_last: int) -> DataFrame:
     """Snapshots with whether they are forgotten: those of the tag beyond its newest keep_last."""
     if keep_last < 1:

@@ -127,7 +127,7 @@ def site_summary(sites: DataFrame, runs: DataFrame, packages: DataFrame) -> Data
         F.count_if(F.col("status") == "success").alias("successes"), F.sum(F.when(F.col("status") == "success", F.col("bytes"))).alias("bytes"),
         F.min_by(F.struct("status", "started_at", "finished_at", "duration_millis", "bytes"), newest).alias("last"),
     )
-    return per.join(F.broadcast(sites), per["site_name"] == sites["name"], "right").select(
+    return per.join(sites, per["site_name"] == sites["name"], "right").select(
         "name",
         F.when(~F.col("enabled"), "disabled").when(F.col("last.status") == "running", "running").otherwise("idle").alias("state"),
         F.coalesce("successes", F.lit(0)).alias("successes"), F.coalesce("bytes", F.lit(0)).alias("total_bytes"),
@@ -136,6 +136,37 @@ def site_summary(sites: DataFrame, runs: DataFrame, packages: DataFrame) -> Data
     )
 
 
+def site_overview(sites: DataFrame, runs: DataFrame, packages: DataFrame, site_destinations: DataFrame, storages: DataFrame) -> DataFrame:
+    """site_summary with mode, what is kept, and the known destinations as `name (type)` in the order of names; by name."""
+    known = site_destinations.join(storages.select(F.col("name").alias("destination"), "type"), "destination")
+    places = known.groupBy(F.col("site_name").alias("name")).agg(F.array_join(F.sort_array(F.collect_set(F.concat("destination", F.lit(" ("), "type", F.lit(")")))), ", ").alias("destinations"))
+    own = sites.select("name", "backup_mode", "keep_last")
+    return site_summary(sites, runs, packages).join(own, "name").join(places, "name", "left").withColumn("destinations", F.coalesce("destinations", F.lit(""))).orderBy("name")
+
+
+def site_names(sites: DataFrame, runs: DataFrame, locks: DataFrame) -> DataFrame:
+    """Every site that is configured, has a running row or holds a lock, each once."""
+    running = runs.where("status = 'running'").select(F.col("site_name").alias("name"))
+    return sites.select("name").unionByName(running).unionByName(locks.select(F.col("site_name").alias("name"))).distinct()
+
+
+def payload(packages: DataFrame, most: int = 10) -> DataFrame:
+    """What a notification says of each run: stored sources, each counted once, their bytes and the first `most` keys.
+
+    Of the copies of a source the one at the first destination counts; keys go by kind and name.
+    """
+    copy = F.min(F.struct("destination", "object_key", "size")).alias("copy")
+    first = packages.where("status = 'stored'").groupBy("run_id", "source_kind", "source_name").agg(copy)
+    ranked = first.withColumn("nr", F.row_number().over(W.partitionBy("run_id").orderBy("source_kind", "source_name")))
+    keys = F.sort_array(F.collect_list(F.when(F.col("nr") <= most, F.struct("nr", "copy.object_key"))))
+    return ranked.groupBy("run_id").agg(F.count("*").alias("items"), F.sum("copy.size").alias("bytes"), keys["object_key"].alias("keys"))
+
+
+def max_skipped(summaries: DataFrame) -> DataFrame:
+    """summaries(run_id, destination, files_skipped): what a run skipped is the most of any destination, not the sum."""
+    return summaries.groupBy("run_id").agg(F.max("files_skipped").alias("files_skipped"))
+
+
 def history_totals(runs: DataFrame, packages: DataFrame) -> DataFrame:
     """One row: runs, logical packages, distinct destinations over all, bytes."""
     own = packages.join(runs.select(F.col("id").alias("run_id")), "run_id", "left_semi")

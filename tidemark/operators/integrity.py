@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.graph import missing_blobs
@@ -105,6 +106,27 @@ def by_type(findings: DataFrame) -> DataFrame:
     return findings.groupBy("type").agg(F.count("*").alias("findings"))
 
 
+def line():
+    """A finding as a line of text: its kind, its id and what the kind adds."""
+    where = lambda word, c: F.concat(F.lit(f" ({word} "), F.coalesce(c, F.lit("")), F.lit(")"))
+    own = F.concat("type", F.lit(" "), F.coalesce("id", F.lit("")))
+    packed = F.coalesce("pack_id", F.lit("")) != ""
+    return (
+        F.when(F.col("type") == "broken_config", "broken_config config").when(F.col("type") == "missing_blob", F.concat(own, where("snapshot", F.col("snapshot_id"))))
+        .when((F.col("type") == "corrupt_blob") & packed, F.concat(own, where("pack", F.col("pack_id")))).when(F.col("type") == "corrupt_blob", F.concat(own, where("snapshot", F.col("snapshot_id"))))
+        .when(F.col("type") == "missing_pack", F.concat(own, F.lit(" ("), F.coalesce("blob_count", F.lit(0)).cast("string"), F.lit(" blobs)"))).otherwise(own)
+    )
+
+
+def report_lines(findings: DataFrame, most: int = 100) -> DataFrame:
+    """Findings as a person reads them: (position, line) of the first `most` by kind and id, then how many more there are."""
+    first = findings.select("type", "id", line().alias("line")).orderBy("type", "id", "line").limit(most)
+    shown = first.select(F.row_number().over(W.orderBy("type", "id", "line")).alias("position"), "line")  # at most `most` rows
+    more = findings.agg(F.count("*").alias("n")).where(F.col("n") > most)
+    rest = more.select(F.lit(most + 1).alias("position"), F.concat(F.lit("and "), (F.col("n") - most).cast("string"), F.lit(" more findings (see --findings-file)")).alias("line"))
+    return shown.unionByName(rest)
+
+
 def counters(snapshots: DataFrame, entries: DataFrame) -> DataFrame:
     return entries.agg(F.count_distinct("index_id").alias("index_files"), F.count_distinct("pack_id").alias("packs"), F.count_distinct("type", "id").alias("blobs")).crossJoin(snapshots.agg(F.count("*").alias("snapshots")))
 
@@ -115,8 +137,6 @@ def repair_index(headers: DataFrame, pack_files: DataFrame, header_bytes: int =
     A list fits if its blobs lie one after the other and, with the entries themselves, take no more than
     the file.
     """
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("pack_id").orderBy("offset", "ordinal").rowsBetween(W.unboundedPreceding, -1)
     placed = headers.withColumn("__at", F.coalesce(F.sum("length").over(w), F.lit(0)))
     state = placed.groupBy("pack_id").agg(F.bool_and(F.col("__at") == F.col("offset")).alias("gapless"), (F.sum("length") + F.count("*") * header_bytes + fixed).alias("needs"))

@@ -46,6 +46,11 @@ def table_health(tables: DataFrame, checks: DataFrame) -> DataFrame:
     return checks.join(first, "table_name", "left").select(F.coalesce("t.table", "table_name").alias("name"), F.coalesce("t.engine", F.lit("")).alias("engine"), *(c for c in checks.columns if c != "table_name"), healthy().alias("healthy"))
 
 
+def overall_health(health: DataFrame) -> DataFrame:
+    """One row: whether every check says ok; null if there is none, which is an error of the check itself."""
+    return health.agg(F.bool_and("healthy").alias("healthy"))
+
+
 def repair_gate(health: DataFrame) -> DataFrame:
     """Unhealthy checks, and whether their tables are repaired: all, and only if every one's engine can be."""
     sick = health.where("NOT healthy").withColumn("repairable", F.lower("engine").isin(*REPAIRABLE))
@@ -55,7 +60,7 @@ def repair_gate(health: DataFrame) -> DataFrame:
 
 def route_channels(routes: DataFrame, channels: DataFrame) -> DataFrame:
     """routes(event, position, channels) -> event, channel in the order of first mention, unknown channels dropped."""
-    flat = routes.select("event", "position", F.posexplode("channels").alias("at", "channel")).join(F.broadcast(channels.select(F.col("name").alias("channel"), F.col("type").alias("channel_type"))), "channel")
+    flat = routes.select("event", "position", F.posexplode("channels").alias("at", "channel")).join(channels.select(F.col("name").alias("channel"), F.col("type").alias("channel_type")), "channel")
     first = flat.groupBy("event", "channel", "channel_type").agg(F.min(F.struct("position", "at")).alias("first"))
     return first.withColumn("rank", F.row_number().over(W.partitionBy("event").orderBy("first"))).drop("first")
 
@@ -95,7 +100,7 @@ def stage_times(events: DataFrame) -> DataFrame:
 
 def rates(progress: DataFrame) -> DataFrame:
     """progress(run_id, at, done, total): bytes a second since the report before, and seconds left at that rate."""
-    w = W.partitionBy("run_id").orderBy("at")
+    w = W.partitionBy("run_id").orderBy("at", "done")
     spent = (F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.lag("at").over(w).cast("timestamp"))) / 1e6
     rate = F.when(spent > 0, (F.col("done") - F.lag("done").over(w)) / spent)
     return progress.withColumn("rate", rate).withColumn("seconds_left", F.when(F.col("rate") > 0, F.greatest(F.lit(0), F.col("total") - F.col("done")) / F.col("rate")))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.graph import settled
+
 #: Bytes of payload at which a pack is closed.
 PACK = 16 << 20
 #: What makes a file the same as before.
@@ -32,11 +34,13 @@ def parent_snapshot(wanted: DataFrame, snapshots: DataFrame) -> DataFrame:
 
     Tags and hosts don't matter; of equal times the smaller id.  Without one the parent is null.
     """
-    old = snapshots.select(F.col("id").alias("parent"), F.col("time").alias("__time"), F.col("paths").alias("__paths"), F.coalesce("excludes", F.expr("array()")).alias("__excludes"))
-    same = (F.col("paths") == F.col("__paths")) & (F.coalesce("excludes", F.expr("array()")) == F.col("__excludes"))
-    joined = wanted.join(old, same & (F.col("__time") < F.col("before")), "left")
-    first = F.struct(-F.unix_micros(F.col("__time").cast("timestamp")), F.col("parent"))
-    return joined.groupBy("key").agg(F.min_by("parent", first).alias("parent"))
+    none = F.expr("cast(array() as array<string>)")
+    fields = ["paths", F.coalesce("excludes", none).alias("excludes")]
+    # of equal times the smallest id stands for all, and a wanted row comes before the snapshots of its own time
+    old = snapshots.groupBy(*fields, F.col("time").alias("at")).agg(F.min("id").alias("id")).withColumn("key", F.lit(None).cast(wanted.schema["key"].dataType)).withColumn("kind", F.lit(1))
+    new = wanted.select(*fields, F.col("before").alias("at"), F.lit(None).cast(snapshots.schema["id"].dataType).alias("id"), "key", F.lit(0).alias("kind"))
+    w = W.partitionBy("paths", "excludes").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return old.unionByName(new).withColumn("parent", F.last("id", ignorenulls=True).over(w)).where("kind = 0").select("key", "parent")
 
 
 def same_metadata(a: str, b: str, columns=METADATA) -> Column:
@@ -79,7 +83,7 @@ def reusable_directories(entries: DataFrame, parent_entries: DataFrame, depth: i
         below = state.where(F.col("depth") == level + 1)
         below = below.join(out, "path", "left").withColumn("ok", F.coalesce("reused", "ok")).drop("reused") if out is not None else below
         done = equal.where(F.size(F.split("path", "/")) == level).join(below.groupBy(F.col("parent").alias("path")).agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("ok")), "path", "left")
-        found = done.select("path", (F.col("same_set") & F.coalesce("ok", F.lit(False))).alias("reused"))
+        found = settled(done.select("path", (F.col("same_set") & F.coalesce("ok", F.lit(False))).alias("reused")))  # else plans would double with each level
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -88,22 +92,23 @@ def build_trees(files: DataFrame, depth: int) -> DataFrame:
     """Merkle trees of files(path, id, size), absolute paths of up to `depth` names: a row (path, tree) for each directory.
 
     A tree's id is the hash of its children as canonical JSON, sorted by name in byte order, with a line
-    end; levels are hashed from the deepest up, one shuffle for each.
+    end; levels are hashed from the deepest up, one shuffle and one checkpoint for each, so that the plan
+    stays as small for deep trees as for flat ones.
     """
     node = files.select(
         F.substring_index("path", "/", -1).alias("name"), F.lit("file").alias("type"), F.col("id"), F.col("size"), F.regexp_replace("path", "/[^/]*$", "").alias("parent")
     )
-    level, out = node.withColumn("depth", F.size(F.split("parent", "/"))), None
+    level, out = node.withColumn("depth", F.size(F.split("parent", "/"))).where(F.col("depth") == depth), None
     for d in range(depth, 0, -1):
-        own = level.where(F.col("depth") == d)
-        trees = own.groupBy("parent").agg(
+        trees = settled(level.groupBy("parent").agg(
             F.sha2(F.concat(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("name", "type", "id", "size"))).alias("nodes"))), F.lit("\n")), 256).alias("tree"), F.sum("size").alias("size")
-        )
+        ))
         out = trees.select(F.col("parent").alias("path"), "tree") if out is None else out.unionByName(trees.select(F.col("parent").alias("path"), "tree"))
         up = trees.select(
             F.substring_index("parent", "/", -1).alias("name"), F.lit("dir").alias("type"), F.col("tree").alias("id"), "size", F.regexp_replace("parent", "/[^/]*$", "").alias("parent"), F.lit(d - 1).alias("depth")
         )
-        level = level.where(F.col("depth") < d).unionByName(up)
+        below = node.select("*", F.size(F.split("parent", "/")).alias("depth")).where(F.col("depth") == d - 1)
+        level = below.unionByName(up)
     return out
 
 

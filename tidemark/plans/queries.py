@@ -352,7 +352,11 @@ def pack_plan(v):
     return snapshots.pack_plan(v.blobs.dropDuplicates(["id"]), 64 << 10, 4)
 
 
-@query()
+@query("files", """
+, l3 AS (SELECT parent AS path, sha256('{"nodes":[' || string_agg('{"name":"' || name || '","type":"file"' || coalesce(',"id":"' || id || '"', '') || coalesce(',"size":' || size, '') || '}', ',' ORDER BY name) || ']}' || chr(10)) AS tree, CAST(sum(size) AS BIGINT) AS size FROM (SELECT parent, split_part(path, '/', -1) AS name, id, size FROM files) f GROUP BY parent),
+l2 AS (SELECT '/' || split_part(path, '/', 2) AS path, sha256('{"nodes":[' || string_agg('{"name":"' || name || '","type":"dir"' || coalesce(',"id":"' || tree || '"', '') || coalesce(',"size":' || size, '') || '}', ',' ORDER BY name) || ']}' || chr(10)) AS tree, CAST(sum(size) AS BIGINT) AS size FROM (SELECT path, split_part(path, '/', -1) AS name, tree, size FROM l3) f GROUP BY 1),
+l1 AS (SELECT '' AS path, sha256('{"nodes":[' || string_agg('{"name":"' || name || '","type":"dir"' || coalesce(',"id":"' || tree || '"', '') || coalesce(',"size":' || size, '') || '}', ',' ORDER BY name) || ']}' || chr(10)) AS tree, CAST(sum(size) AS BIGINT) AS size FROM (SELECT substring(path, 2) AS name, tree, size FROM l2) f)
+SELECT path, tree FROM l3 UNION ALL SELECT path, tree FROM l2 UNION ALL SELECT path, tree FROM l1""")
 def tree_build(v):
     return snapshots.build_trees(v.files.select("path", "id", "size"), 3)
 
@@ -673,3 +677,154 @@ def temporary_space(v):
 @query("", "SELECT event_id, sha256('s' || chr(0) || user_id || chr(0) || 'full' || chr(0) || event_type) AS key FROM events")
 def incident_keys(v):
     return v.events.select("event_id", text.incident_key(F.lit("s"), F.col("user_id").cast("string"), F.lit("full"), F.col("event_type")).alias("key"))
+
+
+# notifications, listings and formats ---------------------------------------------------------------------------------
+
+COPIES = """
+, copies AS (SELECT run_id, source_kind, source_name, arg_min(size, (destination, object_key, size)) AS size, arg_min(object_key, (destination, object_key, size)) AS key FROM packages WHERE status = 'stored' GROUP BY run_id, source_kind, source_name),
+told AS (SELECT run_id, count(*) AS items, CAST(sum(size) AS BIGINT) AS bytes, array_to_string((list(key ORDER BY source_kind, source_name))[1:2], ',') AS keys FROM copies GROUP BY run_id) """
+
+
+@query("packages", COPIES + "SELECT * FROM told")
+def notify_payload(v):
+    return history.payload(v.packages, 2).select("run_id", "items", "bytes", F.array_join("keys", ",").alias("keys"))
+
+
+@query("runs packages", COPIES + f""", d AS (SELECT r.id, r.seq, r.status, {CATEGORY} AS category, seq % 10 = 0 AS recovery, coalesce(items, 0) AS items, coalesce(bytes, 0) AS bytes FROM runs r LEFT JOIN told ON r.id = told.run_id),
+p AS (SELECT *, CASE WHEN items = 0 THEN '' ELSE ' ' || items || CASE WHEN items = 1 THEN ' item (' ELSE ' items (' END || CASE WHEN bytes >= 1048576 THEN printf('%.1f MiB', bytes / 1048576) WHEN bytes >= 1024 THEN printf('%.1f KiB', bytes / 1024) ELSE bytes || ' B' END || CASE WHEN items = 1 THEN ') was prepared.' ELSE ') were prepared.' END END AS prepared FROM d)
+SELECT id, CASE WHEN recovery THEN 'A complete backup is available again. The previous backup incident has recovered.' WHEN status = 'success' THEN 'The backup completed successfully.' || prepared
+ WHEN status = 'partial' THEN 'The snapshot was saved, but ' || (seq % 5) || ' source entries could not be read. Run the backup again to complete it.'
+ WHEN status = 'skipped' AND seq % 2 = 0 THEN 'No backup was created because minimum_interval has not elapsed since the last successful backup.'
+ WHEN status = 'no_change' THEN 'The new backup is identical to the last one.' || CASE WHEN seq % 3 = 0 THEN ' Likely an idle app, or the database dump silently failed.' ELSE '' END
+ ELSE CASE WHEN status = 'cancelled' THEN 'The backup was stopped before it finished.' WHEN status = 'skipped' THEN 'An unexpected problem stopped the backup.' WHEN category = 'config' THEN 'A setting needs attention. The backup configuration was rejected, so the backup did not run.'
+  WHEN category = 'preflight' THEN 'The backup did not start. A check before the backup failed.' WHEN category = 'execution' THEN 'The backup ended with an execution error.' WHEN category = 'storage' THEN 'The backup ran but could not be saved to its destination.'
+  WHEN category = 'persistence' THEN 'The backup finished but its result could not be recorded in the history database.' ELSE 'An unexpected problem stopped the backup.' END || prepared END AS description FROM p""")
+def notify_descriptions(v):
+    own = v.runs.join(history.payload(v.packages).withColumnRenamed("run_id", "id"), "id", "left")
+    category = F.when(F.col("status") == "skipped", F.expr("CASE WHEN seq % 2 = 0 THEN 'minimum_interval' ELSE 'already_running' END")).otherwise(F.coalesce(F.expr(CATEGORY), F.lit("")))
+    told = text.description(F.col("status"), category, F.coalesce("items", F.lit(0)), F.coalesce("bytes", F.lit(0)), F.expr("seq % 5"), F.expr("seq % 10 = 0"), F.expr("seq % 3 = 0"))
+    return own.select("id", told.alias("description"))
+
+
+@query("packages", "SELECT run_id, max(line % 7) AS files_skipped FROM packages GROUP BY run_id")
+def max_skipped(v):
+    return history.max_skipped(v.packages.select("run_id", "destination", F.expr("line % 7").alias("files_skipped")))
+
+
+@query("runs packages sites storages site_destinations", """
+, per_source AS (SELECT run_id, max(size) AS size FROM packages GROUP BY run_id, source_kind, source_name),
+sums AS (SELECT run_id, CAST(sum(size) AS BIGINT) AS bytes FROM per_source GROUP BY run_id),
+good AS (SELECT site_name, count(*) AS successes, CAST(sum(bytes) AS BIGINT) AS total_bytes FROM runs JOIN sums ON runs.id = sums.run_id WHERE status = 'success' GROUP BY site_name),
+places AS (SELECT site_name, string_agg(destination || ' (' || type || ')', ', ' ORDER BY destination) AS destinations FROM site_destinations JOIN storages ON destination = storages.name GROUP BY site_name)
+SELECT s.name, backup_mode, keep_last, coalesce(total_bytes, 0) AS total_bytes, coalesce(destinations, '') AS destinations FROM sites s LEFT JOIN good ON s.name = good.site_name LEFT JOIN places p ON s.name = p.site_name""")
+def site_overview(v):
+    return history.site_overview(v.sites, v.runs, v.packages, v.site_destinations, v.storages).select("name", "backup_mode", "keep_last", "total_bytes", "destinations")
+
+
+@query("sites runs locks", "SELECT name FROM sites UNION SELECT site_name FROM runs WHERE status = 'running' UNION SELECT site_name FROM locks")
+def site_names(v):
+    return history.site_names(v.sites, v.runs, v.locks)
+
+
+@query("tables", CHECKS + "SELECT bool_and(healthy) AS healthy FROM health")
+def overall_health(v):
+    return operations.overall_health(operations.table_health(v.tables, checks(v)))
+
+
+@query("snapshots edges leaf_content index_entries pack_files", REACH + """
+, x AS (SELECT pack_id, bool_or(id IN (SELECT id FROM live)) AS alive FROM index_entries GROUP BY 1)
+SELECT count(*) AS packs_removed, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes_reclaimed FROM x FULL JOIN pack_files p ON x.pack_id = p.pack_id WHERE alive IS NOT TRUE""")
+def reclaimed(v):
+    return graph.reclaimed(graph.sweep_plan(v.index_entries, v.pack_files, graph.mark(v.snapshots.where("k IN (1, 2)"), nodes(v))))
+
+
+@query("snapshots edges leaf_content index_entries pack_files blobs", FINDINGS.rstrip() + """,
+r6(snapshot_id, tree) AS (SELECT id, tree FROM snapshots UNION SELECT r.snapshot_id, e.subtree FROM r6 r JOIN edges e ON r.tree = e.tree),
+lost AS (SELECT tree AS id, snapshot_id FROM r6 UNION SELECT c.id, r.snapshot_id FROM r6 r JOIN leaf_content c ON r.tree = c.tree WHERE c.id NOT IN (SELECT id FROM ix)),
+every_line AS (SELECT 'missing_blob ' || id || ' (snapshot ' || min(snapshot_id) || ')' AS line FROM lost GROUP BY id
+ UNION ALL SELECT 'missing_pack ' || pack_id || ' (' || count(*) || ' blobs)' FROM ix WHERE pack_id NOT IN (SELECT pack_id FROM pack_files) GROUP BY pack_id),
+placed AS (SELECT row_number() OVER (ORDER BY line) AS position, line FROM every_line)
+SELECT position, line FROM placed WHERE position <= 20 UNION ALL SELECT 21, 'and ' || (count(*) - 20) || ' more findings (see --findings-file)' FROM placed HAVING count(*) > 20""")
+def finding_lines(v):
+    index = headers(v, every=True).join(v.index_entries.select("index_id", "id"), "id").drop("compressed", "ordinal")
+    found = integrity.missing(v.snapshots, nodes(v), index).unionByName(integrity.missing_packs(index, v.pack_files))
+    return integrity.report_lines(found, 20).select(F.col("position").cast("bigint").alias("position"), "line")
+
+
+@query("files", """
+SELECT path, CASE WHEN doc_id % 10 >= 8 THEN 'missing' WHEN doc_id % 4 = 0 THEN 'size' WHEN doc_id % 7 = 0 THEN 'checksum' ELSE 'ok' END AS state FROM files""")
+def package_verify(v):
+    have = v.files.where("doc_id % 10 < 8").selectExpr("path AS key", "coalesce(size, 0) + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS size", "CASE WHEN doc_id % 5 <> 0 OR doc_id % 7 = 0 THEN concat(coalesce(id, ''), CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE '' END) END AS sha256")
+    return inventory.verify_packages(have, v.files.selectExpr("path AS key", "coalesce(size, 0) AS size", "coalesce(id, '') AS sha256")).select(F.col("key").alias("path"), "state")
+
+
+MOVED = "SELECT index_id, pack_id, type, id, 0 AS \"offset\", length FROM index_entries UNION ALL SELECT CASE WHEN substring(id, 5, 1) = '1' THEN 'iz' ELSE 'ia' END, 'moved', type, id, 0, length FROM index_entries WHERE substring(id, 4, 1) = '0'"
+
+
+@query("index_entries", f", moved AS ({MOVED}) SELECT type, id, arg_max(pack_id, index_id) AS pack_id FROM moved GROUP BY type, id")
+def latest_index(v):
+    moved = v.index_entries.where("substring(id, 4, 1) = '0'").selectExpr("CASE WHEN substring(id, 5, 1) = '1' THEN 'iz' ELSE 'ia' END AS index_id", "'moved' AS pack_id", "type", "id", "length")
+    return snapshots.latest_index(v.index_entries.unionByName(moved).withColumn("offset", F.lit(0))).select("type", "id", "pack_id")
+
+
+@query("", """WITH e AS (SELECT n_nationkey AS k, CASE n_regionkey WHEN 0 THEN 'backup_succeeded' WHEN 1 THEN 'no_change' WHEN 2 THEN 'backup_skipped' WHEN 3 THEN 'backup_failed' ELSE 'backup_partial' END AS event FROM nation),
+r AS (SELECT event, 'c' || (k % 8) AS channel FROM e), p AS (SELECT DISTINCT channel FROM r WHERE event IN ('backup_failed', 'backup_partial') AND channel NOT IN ('c2', 'c5'))
+SELECT event, channel FROM r UNION SELECT 'backup_succeeded', channel FROM p UNION SELECT 'no_change', channel FROM p""")
+def recovery_routes(v):
+    routed = v.nation.selectExpr("CASE n_regionkey WHEN 0 THEN 'backup_succeeded' WHEN 1 THEN 'no_change' WHEN 2 THEN 'backup_skipped' WHEN 3 THEN 'backup_failed' ELSE 'backup_partial' END AS event", "'c' || (n_nationkey % 8) AS channel")
+    channels = v.nation.where("n_nationkey < 8").selectExpr("'c' || n_nationkey AS name", "CASE WHEN n_nationkey IN (2, 5) THEN 'webhook' ELSE 'smtp' END AS type")
+    return incidents.recovery_routes(routed, channels)
+
+
+@query("event_runs", """
+, l AS (SELECT id, CAST(id AS BIGINT) AS done, lag(CAST(id AS BIGINT)) OVER w AS before, (epoch_us(started_at) - epoch_us(lag(started_at) OVER w)) / 1e6 AS spent FROM event_runs WINDOW w AS (PARTITION BY site_name ORDER BY started_at, CAST(id AS BIGINT))),
+r AS (SELECT id, done, CASE WHEN spent > 0 THEN (done - before) / spent END AS rate FROM l)
+SELECT id, CAST(floor(rate * 1000) AS BIGINT) AS millirate, CAST(floor(CASE WHEN rate > 0 THEN greatest(0, 1000000 - done) / rate END) AS BIGINT) AS seconds_left FROM r""")
+def progress_rates(v):
+    own = v.event_runs.select("id", F.col("site_name").alias("run_id"), F.col("started_at").alias("at"), F.col("id").cast("bigint").alias("done"), F.lit(1_000_000).alias("total"))
+    return operations.rates(own).select("id", F.floor(F.col("rate") * 1000).alias("millirate"), F.floor("seconds_left").alias("seconds_left"))
+
+
+@query("files", """
+SELECT path, substring(given, 1, 8) AS short_id, regexp_full_match(given, '[0-9a-fA-F]{64}') AS valid, chr(96) || replace(named, chr(96), chr(96) || chr(96)) || chr(96) AS quoted, split_part(path, '/', -1) AS base,
+ named IN ('', '.', '..') OR contains(named, '/') OR doc_id % 3 = 0 AS unsafe
+FROM (SELECT path, doc_id, CASE doc_id % 3 WHEN 0 THEN upper(id) WHEN 1 THEN id || '0' ELSE id END AS given, CASE doc_id % 5 WHEN 0 THEN '..' WHEN 1 THEN source || '/' || lang WHEN 2 THEN '' ELSE source || chr(96) || lang END AS named FROM files) f""")
+def file_formats(v):
+    given = F.expr("CASE doc_id % 3 WHEN 0 THEN upper(id) WHEN 1 THEN id || '0' ELSE id END")
+    named = F.expr("CASE doc_id % 5 WHEN 0 THEN '..' WHEN 1 THEN source || '/' || lang WHEN 2 THEN '' ELSE source || '`' || lang END")
+    unsafe = paths.unsafe_node(named, F.lit("file"), F.expr("CASE WHEN doc_id % 3 = 0 THEN 'tree' END"))
+    return v.files.select("path", text.short_id(given).alias("short_id"), text.valid_id(given).alias("valid"), text.quote_identifier(named).alias("quoted"), paths.root_name("path").alias("base"), unsafe.alias("unsafe"))
+
+
+@query("runs", """
+SELECT id, strftime(started_at, '%Y-%m-%dT%H:%M:%SZ') AS at, (seq % 3) || CASE WHEN seq % 3 = 1 THEN ' item' ELSE ' items' END AS items, 'a/' || site_name AS prefix, CASE WHEN seq % 4 = 0 THEN site_name END AS site,
+ CASE seq % 4 WHEN 0 THEN 'backups/' || site_name || '/x' WHEN 1 THEN 'backups/' || site_name ELSE 'x' END AS key_given FROM runs""")
+def run_formats(v):
+    key = F.expr("CASE seq % 4 WHEN 0 THEN 'backups/' || site_name || '/x' WHEN 1 THEN 'backups/' || site_name ELSE 'x' END")
+    return v.runs.select("id", text.utc_text("started_at").alias("at"), text.plural(F.expr("seq % 3"), "item").alias("items"), paths.join_prefix("/a/", F.col("site_name"), "").alias("prefix"), paths.site_of_key(key, "backups").alias("site"), key.alias("key_given"))
+
+
+@query("files", "SELECT doc_id AS position, path, lang || CASE WHEN nr = 1 THEN '' ELSE '-' || (nr - 1) END AS name FROM (SELECT doc_id, parent AS path, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS nr FROM files) f")
+def unique_names(v):
+    return snapshots.unique_names(v.files.select(F.col("doc_id").alias("position"), F.col("parent").alias("path"))).select("position", "path", "name")
+
+
+@query("runs", """
+, s AS (SELECT id, site_name AS site, CASE seq % 4 WHEN 0 THEN 'local' WHEN 1 THEN 's3' WHEN 2 THEN 'r2' ELSE 'ftp' END AS type, CASE WHEN seq % 5 = 0 THEN '' ELSE '/data/' END AS directory, CASE WHEN seq % 7 = 0 THEN '' ELSE 'b' END AS bucket,
+ CASE seq % 3 WHEN 0 THEN '' WHEN 1 THEN 'store.example/' ELSE 'http://store.example' END AS endpoint, CASE WHEN seq % 11 < 5 THEN '' ELSE 'p/q' END AS prefix, CASE WHEN seq % 13 < 6 THEN '' ELSE 'srv' END AS server FROM runs),
+b AS (SELECT *, CASE WHEN server = '' THEN 'repository/' || site ELSE 'backups/srv/' || site || '/incremental-backup' END AS below FROM s)
+SELECT id, CASE WHEN type = 'local' AND directory <> '' THEN '/data/' || below WHEN type IN ('s3', 'r2') AND bucket <> '' THEN 's3:' || CASE endpoint WHEN '' THEN 's3.amazonaws.com' WHEN 'store.example/' THEN 'https://store.example' ELSE endpoint END || '/b/' || CASE WHEN prefix = '' THEN '' ELSE 'p/q/' END || below END AS url FROM b""")
+def repository_urls(v):
+    own = v.runs.selectExpr(
+        "id", "site_name AS site", "CASE seq % 4 WHEN 0 THEN 'local' WHEN 1 THEN 's3' WHEN 2 THEN 'r2' ELSE 'ftp' END AS type", "CASE WHEN seq % 5 = 0 THEN '' ELSE '/data/' END AS directory", "CASE WHEN seq % 7 = 0 THEN '' ELSE 'b' END AS bucket",
+        "CASE seq % 3 WHEN 0 THEN '' WHEN 1 THEN 'store.example/' ELSE 'http://store.example' END AS endpoint", "CASE WHEN seq % 11 < 5 THEN '' ELSE 'p/q' END AS prefix", "CASE WHEN seq % 13 < 6 THEN '' ELSE 'srv' END AS server",
+    )
+    return own.select("id", paths.repository_url(own).alias("url"))
+
+
+@query("files", "SELECT path, CAST(coalesce(size, 0) AS BIGINT) AS bytes FROM files")
+def chunk_bytes(v):
+    """Chunks cover each file from its start to its end; empty files have none."""
+    chunks = chunking.chunk_files(v.files.select("path", F.encode("text", "UTF-8").alias("content")), least=512, most=8192, bits=10)
+    return v.files.select("path").join(chunks.groupBy("path").agg(F.sum("length").alias("bytes"), F.avg("length").alias("mean")), "path", "left").select("path", F.coalesce("bytes", F.lit(0)).alias("bytes"))
