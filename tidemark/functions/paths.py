@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,11 +73,12 @@ def contains(base: Column, path: Column) -> Column:
 
 
 def included(nodes: DataFrame, includes: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Nodes(path) within any of the paths, and the paths that none is within."""
-    spark = nodes.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(p,) for p in includes], "include string"))
-    inside = contains(F.col("include"), F.col("path"))
-    return nodes.join(wanted, inside, "left_semi"), wanted.join(nodes.select("path"), inside, "left_anti")
+    """Nodes(path) within any of the paths, and the paths (include) that none is within; nothing is joined."""
+    inside = [contains(F.lit(p), F.col("path")) for p in includes]
+    any_of = reduce(lambda a, b: a | b, inside, F.lit(False))
+    hit = [F.when(~F.coalesce(F.bool_or(c), F.lit(False)), F.lit(p)) for c, p in zip(inside, includes, strict=True)]
+    lost = nodes.agg(F.array_compact(F.array(*hit)).cast("array<string>").alias("lost")).select(F.explode(F.array_distinct("lost")).alias("include"))
+    return nodes.where(any_of), lost
 
 
 def safe_key(key: Column | str) -> Column:

@@ -62,6 +62,18 @@ def compact_duration(millis: Column | str) -> Column:
     return F.when(h > 0, F.concat(text(h, "h"), text(m, "m"), text(r, "s"))).when(m > 0, F.concat(text(m, "m"), text(r, "s"))).otherwise(text(r, "s"))
 
 
+def exact_duration(millis: Column | str) -> Column:
+    """`1h2m3.5s`, `1m30s`, `2.25s`, `345ms`, `0s`: nothing is rounded."""
+    ms = col(millis)
+    whole = lambda n: F.floor(n).cast("string")
+    rest = F.pmod(ms, F.lit(60_000))
+    digits = F.rtrim(F.lpad(F.pmod(rest, F.lit(1000)).cast("string"), 3, "0"), F.lit("0"))
+    seconds = F.concat(whole(rest / 1000), F.when(digits == "", "").otherwise(F.concat(F.lit("."), digits)), F.lit("s"))
+    hours = F.when(ms >= 3_600_000, F.concat(whole(ms / 3_600_000), F.lit("h"))).otherwise("")
+    minutes = F.when(ms >= 60_000, F.concat(whole(F.pmod(ms, F.lit(3_600_000)) / 60_000), F.lit("m"))).otherwise("")
+    return F.when(ms == 0, "0s").when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).otherwise(F.concat(hours, minutes, seconds))
+
+
 def plural(n: Column | str, one: str, many: str | None = None) -> Column:
     n = col(n)
     return F.concat(n.cast("string"), F.when(n == 1, F.lit(f" {one}")).otherwise(F.lit(f" {many or one + 's'}")))

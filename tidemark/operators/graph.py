@@ -121,11 +121,14 @@ def paths_of(snapshot: DataFrame, nodes: DataFrame) -> DataFrame:
 def restore_plan(snapshot: DataFrame, nodes: DataFrame, target: DataFrame, includes: list[str] | None = None) -> DataFrame:
     """What a restore would do with each path: create, conflict (something else is there), or skip (special files).
 
-    target(path, type) is what exists; directories may exist already.
+    target(path, type) is what exists; directories may exist already.  A node with a name that isn't one, or
+    a tree below anything but a directory, fails the query: such a snapshot restores nothing.
     """
-    from tidemark.functions.paths import included
+    from tidemark.functions.paths import included, unsafe_node
 
-    want = paths_of(snapshot, nodes).select("path", "type", "size")
+    unsafe = F.coalesce(F.col("name").isNull() | unsafe_node("name", "type", "subtree"), F.lit(False))
+    checked = paths_of(snapshot, nodes).where(F.assert_true(~unsafe, "a node of the snapshot has an invalid name or a tree below no directory").isNull())
+    want = checked.select("path", "type", "size")
     if includes:
         want, _ = included(want, includes)
     have = target.select("path", F.col("type").alias("there"))

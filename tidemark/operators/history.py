@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions import text
 from tidemark.sources.schemas import GOOD
 
 DAY = "INTERVAL '24' HOUR"
@@ -71,10 +72,16 @@ def last_good(runs: DataFrame, before=None) -> DataFrame:
 def with_last_good(runs: DataFrame) -> DataFrame:
     """As-of join: each run with the newest good run of its site that started strictly earlier.
 
-    One pass in started order; runs that start together don't see each other.
+    Runs that start together don't see each other.  Windows reach over a month of a site, so that a site
+    with very many runs isn't one task's; each month's last good run, one row for it, is carried to the next.
     """
-    w = W.partitionBy("site_name").orderBy(F.unix_micros(F.col("started_at").cast("timestamp"))).rangeBetween(W.unboundedPreceding, -1)
-    return runs.withColumn("last_good", F.max(F.when(is_good(), F.struct("started_at", "id"))).over(w))
+    good = F.when(is_good(), F.struct("started_at", "id"))
+    own = runs.withColumn("__month", F.date_trunc("month", F.col("started_at").cast("timestamp")))
+    carry = W.partitionBy("site_name").orderBy("__month").rowsBetween(W.unboundedPreceding, -1)
+    before = own.groupBy("site_name", "__month").agg(F.max(good).alias("__good")).select("site_name", "__month", F.last("__good", ignorenulls=True).over(carry).alias("__before"))
+    w = W.partitionBy("site_name", "__month").orderBy(F.unix_micros(F.col("started_at").cast("timestamp"))).rangeBetween(W.unboundedPreceding, -1)
+    seen = own.withColumn("__within", F.max(good).over(w)).alias("r").join(before.alias("b"), F.col("r.site_name").eqNullSafe(F.col("b.site_name")) & F.col("r.__month").eqNullSafe(F.col("b.__month")), "left")
+    return seen.select(*(F.col(f"r.{c}") for c in runs.columns), F.coalesce("r.__within", "b.__before").alias("last_good"))
 
 
 def failure_streak(runs: DataFrame) -> DataFrame:
@@ -180,8 +187,41 @@ def history_totals(runs: DataFrame, packages: DataFrame) -> DataFrame:
 def warnings(runs: DataFrame) -> DataFrame:
     """Runs that ended well with a remark: a success with a message, or no change with a retention warning."""
     message = F.coalesce("error_message", F.lit(""))
-    text = F.when((F.col("status") == "success") & (message != ""), "warning").when((F.col("status") == "no_change") & (F.col("error_category") == "retention"), "warning").when(message != "", "error").otherwise("")
-    return runs.withColumn("severity", text)
+    severity = F.when((F.col("status") == "success") & (message != ""), "warning").when((F.col("status") == "no_change") & (F.col("error_category") == "retention") & (message != ""), "warning").when(message != "", "error").otherwise("")
+    return runs.withColumn("severity", severity)
+
+
+HEADING = ("STATUS", "SITE", "STARTED", "DURATION", "PACKAGES", "DESTINATIONS", "LOGICAL SIZE", "RUN ID")
+
+
+def history_lines(runs: DataFrame, packages: DataFrame) -> DataFrame:
+    """A history as a person reads it: (section, started_at, run_id, line).
+
+    Section 0 is the heading, or says that there is nothing; 1 has a line for each run in columns as wide as
+    their widest text and two spaces; 2 a line for each run that ended badly or with a remark; 3 the totals.
+    It is read by section, newest first, then by id.
+    """
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    sized = runs.join(logical_size(packages).withColumnRenamed("run_id", "id"), "id", "left")
+    lasted = F.when((F.col("status") == "running") & F.col("finished_at").isNull(), "in progress").otherwise(text.exact_duration("duration_millis"))
+    started = F.date_format(F.col("started_at").cast("timestamp_ntz"), "dd-MMMM-yyyy")
+    fields = (text.safe_field("status"), text.safe_field("site_name"), started, lasted, number("sources"), number("destinations"), text.human_bytes(F.coalesce("bytes", F.lit(0))), text.safe_field("id"))
+    cells = sized.select("started_at", "id", *(f.alias(f"c{k}") for k, f in enumerate(fields)))
+    widths = cells.agg(*(F.greatest(F.max(F.length(f"c{k}")), F.lit(len(HEADING[k]))).alias(f"w{k}") for k in range(7)))
+    padded = lambda texts: F.concat(*(F.rpad(t, F.col(f"w{k}") + 2, F.lit(" ")) for k, t in enumerate(texts[:7])), texts[7])
+    row = lambda df, section, line: df.select(F.lit(section).alias("section"), "started_at", F.col("id").alias("run_id"), line.alias("line"))
+    lone = lambda df: df.withColumn("started_at", F.lit(None).cast(runs.schema["started_at"].dataType)).withColumn("id", F.lit(None).cast("string"))
+    empty = cells.agg(F.count("*").alias("n"))
+    head = row(lone(widths.crossJoin(empty)), 0, F.when(F.col("n") == 0, "No backup history found for the selected filters.").otherwise(padded([F.lit(x) for x in HEADING])))
+    lines = row(cells.crossJoin(widths), 1, padded([F.col(f"c{k}") for k in range(8)]))  # widths are one row
+    judged = warnings(runs)
+    kind = F.when((F.col("status") == "partial") | (F.col("severity") == "warning"), "warning").otherwise("error")
+    told = lambda c, none: F.when(F.coalesce(c, F.lit("")) == "", none).otherwise(text.safe_field(c))
+    remark = F.concat(F.lit("Run "), text.safe_field("id"), F.lit(" "), kind, F.lit(" ["), told(F.col("error_category"), "unknown"), F.lit("]: "), told(F.col("error_message"), "message unavailable"))
+    remarks = row(judged.where((F.col("severity") == "warning") | F.col("status").isin("failed", "partial", "cancelled")), 2, remark)
+    total = lone(history_totals(runs, packages)).where("runs > 0")
+    parts = [text.plural("runs", "run"), text.plural("packages", "logical package"), text.plural("destinations", "destination"), F.concat(text.human_bytes("bytes"), F.lit(" logical total"))]
+    return head.unionByName(lines).unionByName(remarks).unionByName(row(total, 3, F.concat(F.lit("\n"), F.concat_ws(", ", *parts))))
 
 
 def activity(locks: DataFrame, runs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.sealing import Keys, Unreadable, unseal
 from tidemark.operators.graph import missing_blobs
 from tidemark.sources.schemas import FINDINGS
 
@@ -67,8 +68,9 @@ def corrupt(blobs: DataFrame) -> DataFrame:
     return finding(bad, "corrupt_blob", id=F.col("id"), pack_id=F.col("pack_id"), detail=F.when(F.col("data").isNull(), "unreadable").otherwise("hash differs"))
 
 
-def unpack(entries: DataFrame, packs: DataFrame) -> DataFrame:
-    """entries with data: the bytes at their place in packs(pack_id, content), expanded if compressed; null if unreadable."""
+def unpack(entries: DataFrame, packs: DataFrame, keys: Keys | None = None) -> DataFrame:
+    """entries with data: the bytes at their place in packs(pack_id, content), opened with keys if the repository
+    is sealed, and expanded if compressed; null if they are outside of the pack, don't open or don't expand."""
 
     def run(batches):
         import pyarrow as pa
@@ -79,8 +81,9 @@ def unpack(entries: DataFrame, packs: DataFrame) -> DataFrame:
             out = []
             for raw, full in zip(batch.column("data").to_pylist(), batch.column("uncompressed_length").to_pylist(), strict=True):
                 try:
-                    out.append(expand.decompress(raw, max_output_size=full) if raw is not None and full else raw)
-                except zstandard.ZstdError:
+                    plain = unseal(raw, keys) if raw is not None and keys else raw
+                    out.append(expand.decompress(plain, max_output_size=full) if plain is not None and full else plain)
+                except (Unreadable, zstandard.ZstdError):
                     out.append(None)
             yield batch.set_column(batch.schema.get_field_index("data"), "data", pa.array(out, pa.binary()))
 
@@ -127,6 +130,28 @@ def report_lines(findings: DataFrame, most: int = 100) -> DataFrame:
     return shown.unionByName(rest)
 
 
+def check_summary(findings: DataFrame, site: str, destination: str) -> DataFrame:
+    """One row, line: `check site/destination: healthy`, or how many findings of each kind there are, in the order of kinds."""
+    kinds = by_type(findings).agg(F.sort_array(F.collect_list(F.struct("type", "findings"))).alias("kinds"))  # nine kinds at most
+    told = F.array_join(F.transform("kinds", lambda k: F.concat(k["findings"].cast("string"), F.lit(" "), k["type"])), ", ")
+    words = F.when(F.size("kinds") == 0, "healthy").otherwise(F.concat(F.lit("problems found ("), told, F.lit(")")))
+    return kinds.select(F.concat(F.lit(f"check {site}/{destination}: "), words).alias("line"))
+
+
+def write_findings(findings: DataFrame, path: str, output: str = "text") -> None:
+    """All findings at a path, even if there are none: a line for each, or as JSON a record for each."""
+    ordered = findings.sort("type", "id")
+    if output == "json":
+        ordered.write.mode("overwrite").json(path)
+    else:
+        ordered.select(line().alias("line")).write.mode("overwrite").text(path)
+
+
+def new_packs(newer: DataFrame, older: DataFrame) -> DataFrame:
+    """pack_id of all packs that the newer list has and the older one lacks, each once."""
+    return newer.select("pack_id").subtract(older.select("pack_id"))
+
+
 def counters(snapshots: DataFrame, entries: DataFrame) -> DataFrame:
     return entries.agg(F.count_distinct("index_id").alias("index_files"), F.count_distinct("pack_id").alias("packs"), F.count_distinct("type", "id").alias("blobs")).crossJoin(snapshots.agg(F.count("*").alias("snapshots")))
 

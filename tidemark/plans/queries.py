@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import chunking, numbers, paths, text
 from tidemark.operators import graph, history, integrity, inventory, operations, report, snapshots
+from tidemark.sources import repository
 from tidemark.sources.adapters import view, with_clause
 from tidemark.streaming import incidents
 
@@ -828,3 +829,135 @@ def chunk_bytes(v):
     """Chunks cover each file from its start to its end; empty files have none."""
     chunks = chunking.chunk_files(v.files.select("path", F.encode("text", "UTF-8").alias("content")), least=512, most=8192, bits=10)
     return v.files.select("path").join(chunks.groupBy("path").agg(F.sum("length").alias("bytes"), F.avg("length").alias("mean")), "path", "left").select("path", F.coalesce("bytes", F.lit(0)).alias("bytes"))
+
+
+# renderers, documents and single steps ---------------------------------------------------------------------------------
+
+HUMAN = "CASE WHEN {0} >= 1099511627776 THEN printf('%.1f TiB', {0} / 1099511627776) WHEN {0} >= 1073741824 THEN printf('%.1f GiB', {0} / 1073741824) WHEN {0} >= 1048576 THEN printf('%.1f MiB', {0} / 1048576) WHEN {0} >= 1024 THEN printf('%.1f KiB', {0} / 1024) ELSE {0} || ' B' END"
+LASTED = """CASE WHEN duration_millis = 0 THEN '0s' WHEN duration_millis < 1000 THEN duration_millis || 'ms' ELSE CASE WHEN duration_millis >= 3600000 THEN duration_millis // 3600000 || 'h' ELSE '' END
+ || CASE WHEN duration_millis >= 60000 THEN duration_millis % 3600000 // 60000 || 'm' ELSE '' END || duration_millis % 60000 // 1000 || CASE WHEN duration_millis % 1000 = 0 THEN '' ELSE rtrim('.' || lpad(CAST(duration_millis % 1000 AS VARCHAR), 3, '0'), '0') END || 's' END"""
+
+
+@query("runs packages", f"""
+, per AS (SELECT run_id, max(size) AS size FROM packages GROUP BY run_id, source_kind, source_name), sums AS (SELECT run_id, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM per GROUP BY run_id),
+places AS (SELECT run_id, count(DISTINCT destination) AS d FROM packages GROUP BY run_id),
+cells AS (SELECT started_at, id, status AS c0, site_name AS c1, strftime(started_at, '%d-%B-%Y') AS c2, CASE WHEN status = 'running' THEN 'in progress' ELSE {LASTED} END AS c3,
+ CAST(coalesce(n, 0) AS VARCHAR) AS c4, CAST(coalesce(d, 0) AS VARCHAR) AS c5, {HUMAN.format("coalesce(bytes, 0)")} AS c6 FROM runs LEFT JOIN sums s ON id = s.run_id LEFT JOIN places p ON id = p.run_id),
+w AS (SELECT greatest(6, max(length(c0))) AS w0, greatest(4, max(length(c1))) AS w1, greatest(7, max(length(c2))) AS w2, greatest(8, max(length(c3))) AS w3, greatest(8, max(length(c4))) AS w4, greatest(12, max(length(c5))) AS w5, greatest(12, max(length(c6))) AS w6 FROM cells),
+total AS (SELECT count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT 1 AS one, max(size) AS bytes FROM packages SEMI JOIN runs ON run_id = runs.id GROUP BY run_id, source_kind, source_name) x)
+SELECT 0 AS section, '' AS run_id, rpad('STATUS', CAST(w0 + 2 AS INT), ' ') || rpad('SITE', CAST(w1 + 2 AS INT), ' ') || rpad('STARTED', CAST(w2 + 2 AS INT), ' ') || rpad('DURATION', CAST(w3 + 2 AS INT), ' ') || rpad('PACKAGES', CAST(w4 + 2 AS INT), ' ') || rpad('DESTINATIONS', CAST(w5 + 2 AS INT), ' ') || rpad('LOGICAL SIZE', CAST(w6 + 2 AS INT), ' ') || 'RUN ID' AS line FROM w
+UNION ALL SELECT 1, id, rpad(c0, CAST(w0 + 2 AS INT), ' ') || rpad(c1, CAST(w1 + 2 AS INT), ' ') || rpad(c2, CAST(w2 + 2 AS INT), ' ') || rpad(c3, CAST(w3 + 2 AS INT), ' ') || rpad(c4, CAST(w4 + 2 AS INT), ' ') || rpad(c5, CAST(w5 + 2 AS INT), ' ') || rpad(c6, CAST(w6 + 2 AS INT), ' ') || id FROM cells, w
+UNION ALL SELECT 2, id, 'Run ' || id || CASE WHEN status = 'partial' OR status = 'success' AND error_message <> '' OR status = 'no_change' AND error_category = 'retention' AND error_message <> '' THEN ' warning [' ELSE ' error [' END
+ || CASE WHEN error_category = '' THEN 'unknown' ELSE error_category END || ']: ' || CASE WHEN error_message = '' THEN 'message unavailable' ELSE error_message END FROM runs
+ WHERE status IN ('failed', 'partial', 'cancelled') OR status = 'success' AND error_message <> '' OR status = 'no_change' AND error_category = 'retention' AND error_message <> ''
+UNION ALL SELECT 3, '', chr(10) || r.n || ' runs, ' || t.n || ' logical packages, ' || d.n || ' destinations, ' || {HUMAN.format("t.bytes")} || ' logical total'
+ FROM total t, (SELECT count(*) AS n FROM runs) r, (SELECT count(DISTINCT destination) AS n FROM packages SEMI JOIN runs ON run_id = runs.id) d""")
+def history_text(v):
+    return history.history_lines(v.runs, v.packages).select("section", F.coalesce("run_id", F.lit("")).alias("run_id"), "line")
+
+
+@query("index_entries pack_files", """
+, f AS (SELECT 'missing_pack' AS type, pack_id FROM (SELECT DISTINCT pack_id FROM index_entries) x WHERE pack_id NOT IN (SELECT pack_id FROM pack_files) UNION ALL SELECT 'broken_snapshot', NULL FROM region WHERE r_regionkey > 2),
+k AS (SELECT type, count(*) AS n FROM f GROUP BY type) SELECT 'check shop/home: ' || CASE WHEN count(*) = 0 THEN 'healthy' ELSE 'problems found (' || string_agg(n || ' ' || type, ', ' ORDER BY type) || ')' END AS line FROM k""")
+def check_summary(v):
+    broken = integrity.broken_snapshots(v.region.selectExpr("'snap-' || r_regionkey AS id", "CASE WHEN r_regionkey > 2 THEN NULL ELSE 'root' END AS tree"))
+    lost = integrity.missing_packs(v.index_entries.withColumn("offset", F.lit(0)), v.pack_files)
+    return integrity.check_summary(broken.unionByName(lost), "shop", "home")
+
+
+@query("index_entries pack_files", "SELECT DISTINCT pack_id FROM index_entries WHERE pack_id NOT IN (SELECT pack_id FROM pack_files)")
+def new_packs(v):
+    return integrity.new_packs(v.index_entries, v.pack_files)
+
+
+@query("files", "SELECT path, 'in' AS state FROM files WHERE parent = '/src1/en' OR starts_with(path, '/src2/') OR path = '/src3' UNION ALL SELECT '/src', 'lost' UNION ALL SELECT '/src1/e', 'lost' UNION ALL SELECT '/src3/none', 'lost'")
+def include_check(v):
+    inside, lost = paths.included(v.files, ["/src1/en", "/src2", "/src", "/src1/e", "/src3/none"])
+    return inside.select("path", F.lit("in").alias("state")).unionByName(lost.select(F.col("include").alias("path"), F.lit("lost").alias("state")))
+
+
+@query("files", "SELECT path, parent = base OR starts_with(parent, base || '/') AS inside FROM (SELECT path, parent, CASE doc_id % 3 WHEN 0 THEN '/' || source WHEN 1 THEN parent ELSE substring(parent, 1, 5) END AS base FROM files) f")
+def path_containment(v):
+    base = F.expr("CASE doc_id % 3 WHEN 0 THEN '/' || source WHEN 1 THEN parent ELSE substring(parent, 1, 5) END")
+    return v.files.select("path", paths.contains(base, F.col("parent")).alias("inside"))
+
+
+@query("files", "SELECT id FROM (SELECT DISTINCT id FROM files) f WHERE starts_with(id, '0') AND (SELECT count(DISTINCT id) FROM files WHERE starts_with(id, '0')) = 1 UNION ALL SELECT min(id) FROM files")
+def resolve_prefix(v):
+    """An id's beginning names it if it is the only one; a whole id always does."""
+    ids = v.files.select("id").where("id IS NOT NULL").distinct()
+    least = v.spark.sql("SELECT min(id) AS id FROM {f}", f=ids)
+    whole = ids.join(least, "id", "left_semi")
+    return snapshots.resolve(ids, "0").unionByName(snapshots.resolve(whole, ""))
+
+
+@query("runs packages", """
+SELECT destination AS name, count(*) AS total_packages, count(*) FILTER (status = 'stored') AS stored, count(*) FILTER (status = 'failed') AS failed, CAST(coalesce(sum(size) FILTER (status = 'stored'), 0) AS BIGINT) AS total_bytes
+FROM packages SEMI JOIN runs ON run_id = runs.id GROUP BY destination""")
+def merged_destinations(v):
+    """Summaries of two halves of the runs, as one: partial results merge to what the whole gives."""
+    halves = [report.by_destination(v.runs.where(f"seq % 2 = {k}"), v.packages) for k in (0, 1)]
+    return report.merge_destinations(*halves)
+
+
+ENDS = "started_at + INTERVAL '1' SECOND * (CAST(seq AS INT) % 100 - 20)"
+
+
+@query("runs", f"""
+, e AS (SELECT id, started_at, duration_millis AS had, status AS was, seq % 3 = 0 AS ends, {ENDS} AS done FROM runs)
+SELECT id, CASE WHEN ends THEN 'success' ELSE was END AS status, CASE WHEN ends THEN greatest(0, (epoch_us(done) - epoch_us(started_at)) // 1000) ELSE had END AS duration_millis FROM e
+UNION ALL SELECT 'given-' || n_nationkey, 'running', 0 FROM nation""")
+def run_ends(v):
+    """Runs that are created and end: what lasted less than nothing lasted nothing, and the latest end of a run counts."""
+    known = v.runs.select("id", "seq", "started_at", "status", "finished_at", "error_category", "error_message", "duration_millis")
+    ends = known.where("seq % 3 = 0").selectExpr("id", "'success' AS status", f"{ENDS} AS finished_at", "'' AS error_category", "'' AS error_message")
+    early = ends.selectExpr("id", "'failed' AS status", "finished_at - INTERVAL '1' MINUTE AS finished_at", "error_category", "error_message")
+    new = v.nation.selectExpr("'given-' || n_nationkey AS id", "n_nationkey AS seq", "TIMESTAMP_NTZ '2026-01-01' AS started_at", "'running' AS status", "CAST(NULL AS TIMESTAMP_NTZ) AS finished_at", "'' AS error_category", "'' AS error_message", "CAST(0 AS BIGINT) AS duration_millis")
+    return history.finish_runs(history.create_run(known, new), ends.unionByName(early)).select("id", "status", "duration_millis")
+
+
+@query("runs", """
+SELECT id, 'outer' || CASE WHEN error_message = '' THEN '' ELSE ': ' || error_message END AS chain, CASE WHEN seq % 4 = 0 THEN repeat('x', 200) WHEN seq % 4 = 1 THEN repeat('é', 100) ELSE site_name END AS first,
+ '```' || chr(10) || CASE WHEN seq % 2 = 0 THEN repeat('y', 1015) || '…' ELSE '''''''' || repeat('y', 4) END || chr(10) || '```' AS fenced FROM runs""")
+def message_texts(v):
+    stderr = F.expr("concat('\\n  \\n ', CASE WHEN seq % 4 = 0 THEN repeat('x', 300) WHEN seq % 4 = 1 THEN repeat('é', 101) ELSE site_name END, ' \\nnext')")
+    block = F.expr("CASE WHEN seq % 2 = 0 THEN repeat('y', 2000) ELSE concat('```', repeat('y', 4)) END")
+    return v.runs.select("id", text.cause_chain(F.array(F.lit("outer"), F.concat(F.lit(" "), "error_message"), F.lit("outer"))).alias("chain"), text.first_line(stderr).alias("first"), text.fence(block).alias("fenced"))
+
+
+@query("tables", "SELECT full_name AS table_name, 'check' AS op, CASE WHEN p_size % 9 = 0 THEN 'error' ELSE 'status' END AS type, 'a' || chr(9) || 'b' AS message FROM tables WHERE p_partkey % 5 <> 0")
+def check_lines(v):
+    lines = v.tables.selectExpr("CASE WHEN p_partkey % 5 = 0 THEN concat(full_name, '\\t', 'noise') ELSE concat_ws('\\t', full_name, 'check', CASE WHEN p_size % 9 = 0 THEN 'error' ELSE 'status' END, 'a', 'b') END AS line")
+    return operations.parse_checks(lines)
+
+
+@query("runs", "SELECT id, strftime(started_at + INTERVAL 3 HOUR, '%d-%B-%Y/%H.%M.%S') || CASE WHEN seq % 3 = 0 THEN '' ELSE '-' || substring('ab' || lpad(id, 12, '0'), 1, 8) END || '-files.tar.gz' AS key FROM runs")
+def package_keys(v):
+    run = F.expr("CASE WHEN seq % 3 = 0 THEN '' ELSE 'a-b' || lpad(id, 12, '0') END")
+    return v.runs.select("id", inventory.format_key(F.col("started_at"), F.lit("files.tar.gz"), run, "Etc/GMT-3").alias("key"))
+
+
+@query("index_entries", "SELECT index_id, pack_id, type, id, 7 AS \"offset\", length, CASE WHEN substring(id, 4, 1) < '8' THEN length + 1 ELSE 0 END AS uncompressed_length FROM index_entries")
+def index_decode(v):
+    """Documents of indexes, one for each, decoded into the rows that they were made of."""
+    blob = F.struct("id", "type", F.lit(7).alias("offset"), "length", F.when(F.expr("substring(id, 4, 1) < '8'"), F.col("length") + 1).alias("uncompressed_length"))
+    packs = v.index_entries.groupBy("index_id", "pack_id").agg(F.collect_list(blob).alias("blobs")).groupBy("index_id").agg(F.collect_list(F.struct(F.col("pack_id").alias("id"), "blobs")).alias("packs"))
+    return repository.index_entries(packs.select(F.lit("index").alias("kind"), F.col("index_id").alias("id"), F.lit("ok").alias("status"), F.to_json(F.struct("packs")).alias("document")))
+
+
+@query("runs", "SELECT id, CASE WHEN seq % 10 <> 0 THEN strftime(started_at, '%Y-%m-%d %H:%M:%S') END AS time, 'tree-' || id AS tree, site_name AS tag, CASE WHEN seq % 2 = 0 THEN duration_millis ELSE 0 END AS bytes FROM runs WHERE seq % 7 <> 0")
+def snapshot_decode(v):
+    """Documents of snapshots: broken ones are left out, times that aren't are null, unknown fields are passed over."""
+    at = F.when(F.expr("seq % 10 = 0"), "soon").otherwise(text.utc_text("started_at"))
+    doc = F.struct(at.alias("time"), F.concat(F.lit("tree-"), "id").alias("tree"), F.array("site_name").alias("tags"), F.struct(F.expr("CASE WHEN seq % 2 = 0 THEN duration_millis END").alias("total_bytes_processed")).alias("summary"), F.lit(1).alias("other"))
+    docs = v.runs.select(F.lit("snapshot").alias("kind"), "id", F.expr("CASE WHEN seq % 7 = 0 THEN 'tag differs' ELSE 'ok' END AS status"), F.to_json(doc).alias("document"))
+    return repository.snapshots(docs).select("id", F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("time"), "tree", F.col("tags")[0].alias("tag"), F.coalesce("summary.total_bytes_processed", F.lit(0)).alias("bytes"))
+
+
+@query("files", "SELECT parent AS tree_id, path AS name, 'file' AS type, coalesce(size, 0) AS size, 1 AS pieces, true AS ordered FROM files WHERE source <> 'src1' UNION ALL SELECT parent, path, 'file', coalesce(size, 0), 1, count(*) OVER (PARTITION BY parent) < 2 FROM files WHERE source = 'src1'")
+def tree_decode(v):
+    """Documents of trees, decoded into nodes; a tree whose names don't ascend says so."""
+    node = F.struct(F.col("path").alias("name"), F.lit("file").alias("type"), F.coalesce("size", F.lit(0)).alias("size"), F.array(F.coalesce("id", F.lit("x"))).alias("content"))
+    up = F.sort_array(F.collect_list(node))
+    trees = v.files.groupBy("parent", "source").agg(up.alias("up")).select(F.col("parent").alias("tree_id"), F.to_json(F.struct(F.when(F.col("source") == "src1", F.reverse("up")).otherwise(F.col("up")).alias("nodes"))).alias("document"))
+    return repository.tree_nodes(trees).select("tree_id", "name", "type", F.col("size").cast("bigint").alias("size"), F.size("content").cast("bigint").alias("pieces"), "ordered")
