@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tests.core.test_history import T0, packages, runs
 from tidemark.functions import paths, sealing, text
-from tidemark.operators import graph, history, integrity
-from tidemark.sources import filesystem, schemas
+from tidemark.operators import graph, history, integrity, snapshots
+from tidemark.sources import filesystem, repository, schemas
 from tidemark.streaming import incidents
 
 KEYS = sealing.Keys(b"e" * 32, b"k" * 16, b"r" * 16)
@@ -115,3 +115,20 @@ def test_period_once_for_good(spark, tmp_path):
     query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted(r.period for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["2026-01-01", "2026-01-02", "2026-01-20"]
+
+
+def test_save_path(spark):
+    """Repeated, known and empty blobs; packs open again, and close once their payloads reach the size."""
+    known = spark.createDataFrame([("data", hashlib.sha256(b"known").hexdigest())], "type string, id string")
+    data = [("data", x) for x in (b"a" * 5000, b"a" * 5000, b"", b"known", b"b")] + [("tree", b"b"), ("data", None)]
+    saved = snapshots.save_blobs(spark.createDataFrame([(t, bytearray(x) if x is not None else None) for t, x in data], "type string, data binary"), known, KEYS)
+    got = {(r.type, r.id): (bytes(r.payload), r.length, r.uncompressed_length) for r in saved.collect()}
+    name = lambda x: hashlib.sha256(x).hexdigest()
+    assert set(got) == {("data", name(b"a" * 5000)), ("data", name(b"")), ("data", name(b"b")), ("tree", name(b"b"))}
+    assert got["data", name(b"")][1:] == (sealing.EXTENSION, 0) and got["data", name(b"a" * 5000)][2] == 5000
+    assert all(len(p) == n for p, n, _ in got.values())
+    for size, want in ((1, 4), (1 << 20, 2)):
+        packed = snapshots.packs(saved, KEYS, size, 1)
+        heads = repository.pack_headers(packed.select(F.col("pack_id").alias("id"), "content"), KEYS)
+        opened = {(r.type, r.id): bytes(r.data) for r in integrity.unpack(heads, packed.select("pack_id", "content"), KEYS).collect()}
+        assert packed.count() == want and opened == {k: x for k in got for t, x in data if x is not None and (t, name(x)) == k}

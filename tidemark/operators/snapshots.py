@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.sealing import Keys, seal
 from tidemark.operators.graph import settled
 
 #: Bytes of payload at which a pack is closed.
@@ -145,6 +146,56 @@ def pack_plan(blobs: DataFrame, size: int = PACK, lanes: int = 64) -> DataFrame:
     return own.repartition("type", "lane").sortWithinPartitions("type", "lane", "id").mapInPandas(run, "type string, id string, length bigint, lane int, pack bigint")
 
 
+def save_blobs(blobs: DataFrame, index: DataFrame, keys: Keys) -> DataFrame:
+    """type, id, payload, length and uncompressed_length of blobs(type, data) that the index lacks, each once.
+
+    Data is compressed unless it is empty, which an uncompressed_length of 0 tells, then sealed under a fresh
+    counter; length is that of the payload.  A counter is random, so the rows are settled before they are given.
+    """
+
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+        import zstandard
+
+        pack = zstandard.ZstdCompressor()
+        for batch in batches:
+            data = batch.column("data").to_pylist()
+            payload = [seal(pack.compress(x) if x else x, keys, os.urandom(16)) for x in data]
+            rest = [pa.array(payload, pa.binary()), pa.array([len(x) for x in payload], pa.int64()), pa.array([len(x) for x in data], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("type"), batch.column("id"), *rest], names=["type", "id", "payload", "length", "uncompressed_length"])
+
+    named = blobs.select("type", F.sha2("data", 256).alias("id"), "data").where("data IS NOT NULL")
+    return settled(new_blobs(named, index).select("type", "id", "data").mapInArrow(run, "type string, id string, payload binary, length bigint, uncompressed_length bigint"))
+
+
+def packs(saved: DataFrame, keys: Keys, size: int = PACK, lanes: int = 64) -> DataFrame:
+    """pack_id, type, content: saved blobs one after the other, the sealed list of them, and its length.
+
+    Packs are those of pack_plan by lengths of payloads; a task holds one pack, which is `size` and a blob at most.
+    """
+
+    def run(pdf):
+        import hashlib
+
+        import pandas as pd
+
+        pdf = pdf.sort_values("id")
+        head = b"".join(
+            bytes([(t == "tree") + 2 * (full > 0)]) + int(n).to_bytes(4, "little") + (int(full).to_bytes(4, "little") if full else b"") + bytes.fromhex(i)
+            for t, i, n, full in zip(pdf["type"], pdf["id"], pdf["length"], pdf["uncompressed_length"], strict=True)
+        )
+        body = b"".join(pdf["payload"])
+        # the counter of the list comes from the payloads, so that a task that runs again gives the same pack
+        listed = seal(head, keys, hashlib.sha256(body + head).digest()[:16])
+        content = body + listed + len(listed).to_bytes(4, "little")
+        return pd.DataFrame({"pack_id": [hashlib.sha256(content).hexdigest()], "type": [pdf["type"].iloc[0]], "content": [content]})
+
+    placed = saved.join(pack_plan(saved, size, lanes).select("type", "id", "lane", "pack"), ["type", "id"])
+    return placed.groupBy("type", "lane", "pack").applyInPandas(run, "pack_id string, type string, content binary")
+
+
 def unique_names(roots: DataFrame) -> DataFrame:
     """roots(position, path) with names: the n-th repetition of a basename gets -n."""
     base = F.when(F.regexp_replace("path", "/+$", "") == "", "root").otherwise(F.substring_index(F.regexp_replace("path", "/+$", ""), "/", -1))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import chunking, numbers, paths, text
+from tidemark.functions import chunking, numbers, paths, sealing, text
 from tidemark.operators import graph, history, integrity, inventory, operations, report, snapshots
 from tidemark.sources import repository
 from tidemark.sources.adapters import view, with_clause
@@ -961,3 +961,15 @@ def tree_decode(v):
     up = F.sort_array(F.collect_list(node))
     trees = v.files.groupBy("parent", "source").agg(up.alias("up")).select(F.col("parent").alias("tree_id"), F.to_json(F.struct(F.when(F.col("source") == "src1", F.reverse("up")).otherwise(F.col("up")).alias("nodes"))).alias("document"))
     return repository.tree_nodes(trees).select("tree_id", "name", "type", F.col("size").cast("bigint").alias("size"), F.size("content").cast("bigint").alias("pieces"), "ordered")
+
+
+@query("files", "SELECT DISTINCT 'data' AS type, id, size, true AS compressed FROM files WHERE size > 0 AND substring(id, 1, 1) <> '0' UNION ALL SELECT 'tree', sha256(''), 0, false")
+def saved_packs(v):
+    """Texts that are saved, packed, read from their packs' own lists and opened: each comes back once, as it was."""
+    keys = sealing.Keys(b"e" * 32, b"k" * 16, b"r" * 16)
+    blobs = v.files.select(F.lit("data").alias("type"), F.encode("text", "UTF-8").alias("data")).where("length(data) > 0").unionByName(v.spark.range(1).select(F.lit("tree").alias("type"), F.encode(F.lit(""), "UTF-8").alias("data")))
+    known = v.files.where("substring(id, 1, 1) = '0'").select(F.lit("data").alias("type"), "id")
+    stored = snapshots.packs(snapshots.save_blobs(blobs, known, keys), keys, 64 << 10, 4)
+    stored = graph.settled(stored)
+    own = integrity.unpack(repository.pack_headers(stored.select(F.col("pack_id").alias("id"), "content"), keys), stored.select("pack_id", "content"), keys)
+    return own.where(F.sha2("data", 256) == F.col("id")).select("type", "id", F.octet_length("data").cast("bigint").alias("size"), "compressed")
