@@ -57,6 +57,15 @@ def test_last_good(spark):
     assert seen == {"a": None, "b": "a", "c": "b", "d": "b"}
 
 
+def test_last_good_of_runs_that_started_together(spark):
+    """The smallest id counts, within a month and carried over its end, as it does for last_good."""
+    at = [T0, T0, T0 + timedelta(hours=1), T0 + timedelta(days=40)]
+    df = runs(spark, [(i, "web", "full", "success" if k < 2 else "failed", t, 0) for k, (i, t) in enumerate(zip(("20", "1000", "c", "d"), at, strict=True))])
+    seen = {r.id: r.last_good and r.last_good.id for r in history.with_last_good(df).collect()}
+    assert seen == {"20": None, "1000": None, "c": "1000", "d": "1000"}
+    assert [r.id for r in history.last_good(df).collect()] == ["1000"]
+
+
 def test_lifecycle(spark):
     start = datetime(2026, 7, 23, 3)
     df = runs(spark, [("r", "web", "full", "running", start, 0)])

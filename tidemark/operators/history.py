@@ -72,16 +72,19 @@ def last_good(runs: DataFrame, before=None) -> DataFrame:
 def with_last_good(runs: DataFrame) -> DataFrame:
     """As-of join: each run with the newest good run of its site that started strictly earlier.
 
-    Runs that start together don't see each other.  Windows reach over a month of a site, so that a site
-    with very many runs isn't one task's; each month's last good run, one row for it, is carried to the next.
+    Runs that start together don't see each other; of good ones that did, that with the smallest id counts, as in
+    last_good.  Windows reach over a month of a site, so that a site with very many runs isn't one task's; each
+    month's last good run, one row for it, is carried to the next.
     """
-    good = F.when(is_good(), F.struct("started_at", "id"))
+    micros = F.unix_micros(F.col("started_at").cast("timestamp"))
+    good = F.when(is_good() & F.col("started_at").isNotNull(), F.struct((-micros).alias("back"), "id", "started_at"))
     own = runs.withColumn("__month", F.date_trunc("month", F.col("started_at").cast("timestamp")))
     carry = W.partitionBy("site_name").orderBy("__month").rowsBetween(W.unboundedPreceding, -1)
-    before = own.groupBy("site_name", "__month").agg(F.max(good).alias("__good")).select("site_name", "__month", F.last("__good", ignorenulls=True).over(carry).alias("__before"))
-    w = W.partitionBy("site_name", "__month").orderBy(F.unix_micros(F.col("started_at").cast("timestamp"))).rangeBetween(W.unboundedPreceding, -1)
-    seen = own.withColumn("__within", F.max(good).over(w)).alias("r").join(before.alias("b"), F.col("r.site_name").eqNullSafe(F.col("b.site_name")) & F.col("r.__month").eqNullSafe(F.col("b.__month")), "left")
-    return seen.select(*(F.col(f"r.{c}") for c in runs.columns), F.coalesce("r.__within", "b.__before").alias("last_good"))
+    before = own.groupBy("site_name", "__month").agg(F.min(good).alias("__good")).select("site_name", "__month", F.last("__good", ignorenulls=True).over(carry).alias("__before"))
+    w = W.partitionBy("site_name", "__month").orderBy(micros).rangeBetween(W.unboundedPreceding, -1)
+    seen = own.withColumn("__within", F.min(good).over(w)).alias("r").join(before.alias("b"), F.col("r.site_name").eqNullSafe(F.col("b.site_name")) & F.col("r.__month").eqNullSafe(F.col("b.__month")), "left")
+    found = seen.withColumn("__found", F.coalesce("r.__within", "b.__before"))
+    return found.select(*(F.col(f"r.{c}") for c in runs.columns), F.when(F.col("__found").isNotNull(), F.struct("__found.started_at", "__found.id")).alias("last_good"))
 
 
 def failure_streak(runs: DataFrame) -> DataFrame:
