@@ -135,6 +135,12 @@ def test_unchanged_and_gate(spark):
     assert {x.id: x.skipped for x in history.interval_gate(r).collect()} == {"1": False, "2": True, "3": False}
 
 
+def test_unchanged_since_one_of_two_that_started_together(spark):
+    r = runs(spark, [("20", "w", "full", "success", T0, 0), ("1000", "w", "full", "success", T0, 0), ("3", "w", "full", "success", T0 + timedelta(hours=3), 0)])
+    p = packages(spark, [("20", "files", "f", "a", 6, "stored"), ("1000", "files", "f", "a", 5, "stored"), ("3", "files", "f", "a", 5, "stored")])
+    assert [(x.run_id, x.old_id, x.unchanged) for x in history.unchanged(r, p).collect()] == [("3", "1000", True)]
+
+
 def test_activity(spark):
     r = runs(spark, [("1", "a", "full", "running", T0, 0), ("2", "a", "full", "running", T0 + timedelta(hours=2), 0), ("3", "b", "full", "running", T0, 0), ("4", "c", "full", "running", T0, 0)])
     locks = spark.createDataFrame([("a", True, 7, T0 + timedelta(hours=1)), ("b", False, 8, T0), ("d", True, 9, T0)], schemas.LOCKS)
