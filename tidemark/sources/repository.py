@@ -75,10 +75,14 @@ def snapshots(documents: DataFrame) -> DataFrame:
 
 
 def tree_nodes(trees: DataFrame) -> DataFrame:
-    """trees(tree_id, document) -> nodes, and whether a tree's names ascend strictly in byte order."""
+    """trees(tree_id, document) -> nodes, and whether a tree's names ascend strictly in byte order.
+
+    Neighbours are compared in one walk: an array that is looked up by place within a lambda is made again each time.
+    """
     doc = trees.select("tree_id", F.from_json("document", TREE).alias("d"))
     names = F.transform("d.nodes", lambda n: n["name"])
-    ascending = F.forall(F.sequence(F.lit(1), F.size(names) - 1), lambda k: F.get(names, k - 1) < F.get(names, k))
+    rest = F.size("d.nodes") - 1
+    ascending = F.forall(F.zip_with(F.slice(names, F.lit(1), rest), F.slice(names, F.lit(2), rest), lambda a, b: a < b), lambda x: x)
     return doc.withColumn("ordered", F.when(F.size("d.nodes") < 2, True).otherwise(ascending)).select("tree_id", "ordered", F.explode("d.nodes").alias("n")).select(
         "tree_id", "ordered", "n.*"
     ).withColumn("content", F.when(F.col("type") == "file", F.coalesce("content", F.expr("cast(array() as array<string>)"))).otherwise(F.col("content")))
