@@ -80,6 +80,24 @@ def test_trees(spark):
     assert got == {("t", "a"): (True, []), ("t", "b"): (True, None), ("u", "b"): (False, []), ("u", "a"): (False, []), ("v", "z"): (True, ["i"])}
 
 
+def test_many_texts_at_once():
+    """As text by text with whole numbers: lengths around blocks and stretches, counters that overflow, what doesn't open."""
+    texts = [bytes(k % 251 for k in range(n)) for n in (0, 1, 15, 16, 17, 100, 65_535, 65_536, 65_552, 70_000)] + [b"\xff" * 66_000]
+    ivs = [b"\xff" * 16 if k % 2 else bytes(8) + b"\xff" * 8 for k in range(len(texts))]
+    sealed = sealing.seal_all(texts, KEYS, ivs)
+    key, p = int.from_bytes(KEYS.mac_r, "little") & 0x0FFFFFFC0FFFFFFC0FFFFFFC0FFFFFFF, (1 << 130) - 5
+    aes = lambda x, k: sealing.blocks(np.frombuffer(x, np.uint8).reshape(-1, 16), k).tobytes()
+    for text, iv, got in zip(texts, ivs, sealed, strict=True):
+        stream = aes(b"".join(((int.from_bytes(iv, "big") + k) % (1 << 128)).to_bytes(16, "big") for k in range(-(-len(text) // 16))), KEYS.encrypt)
+        body, total = bytes(a ^ b for a, b in zip(text, stream)), 0  # noqa: B905
+        for k in range(0, len(body), 16):
+            total = (total + int.from_bytes(body[k : k + 16] + b"\x01", "little")) * key % p
+        assert got == iv + body + ((total + int.from_bytes(aes(iv, KEYS.mac_k), "little")) % (1 << 128)).to_bytes(16, "little")
+    damaged = [x[:-1] + bytes([x[-1] ^ 1]) for x in sealed]
+    assert sealing.unseal_all([None, b"short", *damaged, *sealed], KEYS) == [None] * (2 + len(damaged)) + texts
+    assert sealing.seal_all([], KEYS, []) == sealing.unseal_all([], KEYS) == []
+
+
 def test_large_trees_take_linear_time(spark):
     """Two trees of 40,000 names, one of which ends out of order; comparing by place took minutes."""
     nodes = F.transform(F.sequence(F.lit(1), F.lit(40_000)), lambda k: F.struct(F.lpad(F.when((k == 40_000) & (F.col("id") == 1), 0).otherwise(k).cast("string"), 6, "0").alias("name"), F.lit("file").alias("type")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.sealing import Keys, seal
+from tidemark.functions.sealing import Keys, seal, seal_all
 from tidemark.operators.graph import settled
 
 #: Bytes of payload at which a pack is closed.
@@ -162,7 +162,7 @@ def save_blobs(blobs: DataFrame, index: DataFrame, keys: Keys) -> DataFrame:
         pack = zstandard.ZstdCompressor()
         for batch in batches:
             data = batch.column("data").to_pylist()
-            payload = [seal(pack.compress(x) if x else x, keys, os.urandom(16)) for x in data]
+            payload = seal_all([pack.compress(x) if x else x for x in data], keys, [os.urandom(16) for _ in data])
             rest = [pa.array(payload, pa.binary()), pa.array([len(x) for x in payload], pa.int64()), pa.array([len(x) for x in data], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("type"), batch.column("id"), *rest], names=["type", "id", "payload", "length", "uncompressed_length"])
 
