@@ -132,3 +132,12 @@ def test_save_path(spark):
         heads = repository.pack_headers(packed.select(F.col("pack_id").alias("id"), "content"), KEYS)
         opened = {(r.type, r.id): bytes(r.data) for r in integrity.unpack(heads, packed.select("pack_id", "content"), KEYS).collect()}
         assert packed.count() == want and opened == {k: x for k in got for t, x in data if x is not None and (t, name(x)) == k}
+
+
+def test_safe_field_looks_once(spark):
+    """Each word hides a field in any case; the text is lowered once, not for each word."""
+    words = ["://", ":\\", "../", "..\\", *text.SENSITIVE]
+    cases = [(f"a {w.upper()} b", "[redacted]") for w in words] + [("/etc", "[redacted]"), ("a \n /x", "[redacted]"), ("a/b", "a/b"), ("awsx: pass word", "awsx: pass word"), (".. /", "[redacted]"), ("..x", "..x"), (" \t", "-"), (None, "-")]
+    df = spark.createDataFrame(cases, "s string, want string").withColumn("got", text.safe_field("s"))
+    assert [r.got for r in df.collect()] == [w for _, w in cases]
+    assert df._jdf.queryExecution().analyzed().toString().count("lower(") == 1

@@ -91,11 +91,13 @@ def redact(text: Column | str) -> Column:
 
 
 def safe_field(text: Column | str) -> Column:
-    """One line for a table: white space collapsed, empty becomes a dash; hidden as a whole if any part could give something away."""
+    """One line for a table: white space collapsed, empty becomes a dash; hidden as a whole if any part could give something away.
+
+    All that is hidden is one pattern, since each further mention of the text would make it anew.
+    """
     flat = F.trim(F.regexp_replace(F.coalesce(col(text), F.lit("")), r"\s+", " "))
-    low = F.lower(flat)
-    sensitive = reduce(lambda a, b: a | b, (low.contains(w) for w in ("://", ":\\", "../", "..\\", *SENSITIVE)))
-    return F.when(flat == "", "-").when(sensitive | flat.rlike("(^| )/"), "[redacted]").otherwise(flat)
+    hidden = "|".join((*map(re.escape, ("://", ":\\", "../", "..\\", *SENSITIVE)), "(^| )/"))
+    return F.when(flat == "", "-").when(F.lower(flat).rlike(hidden), "[redacted]").otherwise(flat)
 
 
 def cause_chain(messages: Column | str) -> Column:
