@@ -168,3 +168,33 @@ def test_parents_at_equal_times_and_without_snapshots(spark):
     wanted = spark.createDataFrame([("same", ["/s"], None, at(2)), ("later", ["/s"], [], at(3)), ("other", ["/s"], ["e"], at(3))], "key string, paths array<string>, excludes array<string>, before timestamp")
     assert {r.key: r.parent for r in snapshots.parent_snapshot(wanted, old).collect()} == {"same": None, "later": "y", "other": "x"}
     assert {r.key: r.parent for r in snapshots.parent_snapshot(wanted, old.limit(0)).collect()} == {"same": None, "later": None, "other": None}
+
+
+def test_chunks_of_a_batch_take_bounded_memory():
+    """A batch of 32 MB is neither copied as a whole nor answered by one batch; files without bytes have no chunks."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Catch:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    run = chunking.chunk_files(Catch(), least=512, most=1024, bits=10)
+    contents = [bytes(np.random.default_rng(k).integers(0, 256, 4096, np.uint8)) for k in range(50)]
+    rows = [contents[k % 50] for k in range(8000)] + [None, b""]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(len(rows))]), pa.array(rows, pa.binary())], names=["path", "content"])
+    del rows
+    tracemalloc.start()
+    sizes, lengths, seen = [], 0, {}
+    for out in run([batch]):
+        sizes.append(out.num_rows)
+        lengths += sum(out.column("length").to_pylist())
+        for path, start, n, name in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            if int(path) < 50:
+                seen.setdefault(int(path), []).append((start, n))
+                assert name == hashlib.sha256(contents[int(path)][start : start + n]).hexdigest()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == {k: chunking.chunks(x, least=512, most=1024, bits=10) for k, x in enumerate(contents)}
+    assert lengths == 8000 * 4096 and max(sizes) < chunking.ROWS + 8 and peak < 16 << 20
