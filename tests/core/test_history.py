@@ -141,6 +141,22 @@ def test_unchanged_since_one_of_two_that_started_together(spark):
     assert [(x.run_id, x.old_id, x.unchanged) for x in history.unchanged(r, p).collect()] == [("3", "1000", True)]
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_unchanged_in_an_hour_that_the_zone_of_the_session_skips(spark, zone):
+    """Times without a zone are compared as they stand, and runs of no site are of no common one."""
+    at = datetime(2026, 3, 8, 2, 45)
+    rows = [(i, site, "full", "success", at + timedelta(minutes=m)) for i, site, m in (("a", "w", 0), ("b", "w", 25), ("c", "w", 45), ("x", None, 0), ("y", None, 5))]
+    p = packages(spark, [(i, "files", "f", "d", 5, "stored") for i in "abcxy"])
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        r = spark.createDataFrame(rows, "id string, site_name string, scope string, status string, started_at timestamp_ntz")
+        assert sorted((x.run_id, x.old_id, x.unchanged) for x in history.unchanged(r, p).collect()) == [("b", "a", True), ("c", "b", True)]
+        assert [x.id for x in history.last_good(r.where("site_name = 'w' AND id < 'c'")).collect()] == ["b"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_activity(spark):
     r = runs(spark, [("1", "a", "full", "running", T0, 0), ("2", "a", "full", "running", T0 + timedelta(hours=2), 0), ("3", "b", "full", "running", T0, 0), ("4", "c", "full", "running", T0, 0)])
     locks = spark.createDataFrame([("a", True, 7, T0 + timedelta(hours=1)), ("b", False, 8, T0), ("d", True, 9, T0)], schemas.LOCKS)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from tidemark.functions import text
 from tidemark.sources.schemas import GOOD
@@ -17,6 +18,14 @@ def is_good() -> Column:
     return (F.col("scope") == "full") & F.col("status").isin(*GOOD)
 
 
+def micros(df: DataFrame, name: str = "started_at") -> Column:
+    """A time in microseconds; one without a zone counts as it stands, since the session's zone may skip or repeat an hour."""
+    if isinstance(df.schema[name].dataType, TimestampType):
+        return F.unix_micros(name)
+    since = F.col(name).cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz")
+    return (since.cast("interval second").cast("decimal(18,6)") * 1000000).cast("bigint")
+
+
 def with_packages(runs: DataFrame, packages: DataFrame) -> DataFrame:
     """Each run with its packages as a sorted array, empty where there are none."""
     nested = packages.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("source_kind", "source_name", "destination", "object_key", "size", "status"))).alias("packages"))
@@ -66,23 +75,22 @@ def last_good(runs: DataFrame, before=None) -> DataFrame:
     good = runs.where(is_good())
     if before is not None:
         good = good.where(F.col("started_at") < before)
-    return good.groupBy("site_name").agg(F.min_by(F.struct("id", "status", "started_at"), F.struct(-F.unix_micros(F.col("started_at").cast("timestamp")), F.col("id"))).alias("r")).select("site_name", F.col("r.id").alias("id"), F.col("r.status").alias("status"), F.col("r.started_at").alias("started_at"))
+    return good.groupBy("site_name").agg(F.min_by(F.struct("id", "status", "started_at"), F.struct(-micros(good), F.col("id"))).alias("r")).select("site_name", F.col("r.id").alias("id"), F.col("r.status").alias("status"), F.col("r.started_at").alias("started_at"))
 
 
 def with_last_good(runs: DataFrame) -> DataFrame:
     """As-of join: each run with the newest good run of its site that started strictly earlier.
 
     Runs that start together don't see each other; of good ones that did, that with the smallest id counts, as in
-    last_good.  Windows reach over a month of a site, so that a site with very many runs isn't one task's; each
-    month's last good run, one row for it, is carried to the next.
+    last_good.  Runs of no site see none.  Windows reach over thirty days of a site, so that a site with very many
+    runs isn't one task's; the last good run of each, one row for it, is carried to the next.
     """
-    micros = F.unix_micros(F.col("started_at").cast("timestamp"))
-    good = F.when(is_good() & F.col("started_at").isNotNull(), F.struct((-micros).alias("back"), "id", "started_at"))
-    own = runs.withColumn("__month", F.date_trunc("month", F.col("started_at").cast("timestamp")))
-    carry = W.partitionBy("site_name").orderBy("__month").rowsBetween(W.unboundedPreceding, -1)
-    before = own.groupBy("site_name", "__month").agg(F.min(good).alias("__good")).select("site_name", "__month", F.last("__good", ignorenulls=True).over(carry).alias("__before"))
-    w = W.partitionBy("site_name", "__month").orderBy(micros).rangeBetween(W.unboundedPreceding, -1)
-    seen = own.withColumn("__within", F.min(good).over(w)).alias("r").join(before.alias("b"), F.col("r.site_name").eqNullSafe(F.col("b.site_name")) & F.col("r.__month").eqNullSafe(F.col("b.__month")), "left")
+    good = F.when(is_good() & F.col("site_name").isNotNull() & F.col("__at").isNotNull(), F.struct((-F.col("__at")).alias("back"), "id", "started_at"))
+    own = runs.withColumn("__at", micros(runs)).withColumn("__span", F.floor(F.col("__at") / (30 * 86400 * 1000000)))
+    carry = W.partitionBy("site_name").orderBy("__span").rowsBetween(W.unboundedPreceding, -1)
+    before = own.groupBy("site_name", "__span").agg(F.min(good).alias("__good")).select("site_name", "__span", F.last("__good", ignorenulls=True).over(carry).alias("__before"))
+    w = W.partitionBy("site_name", "__span").orderBy("__at").rangeBetween(W.unboundedPreceding, -1)
+    seen = own.withColumn("__within", F.min(good).over(w)).alias("r").join(before.alias("b"), F.col("r.site_name").eqNullSafe(F.col("b.site_name")) & F.col("r.__span").eqNullSafe(F.col("b.__span")), "left")
     found = seen.withColumn("__found", F.coalesce("r.__within", "b.__before"))
     return found.select(*(F.col(f"r.{c}") for c in runs.columns), F.when(F.col("__found").isNotNull(), F.struct("__found.started_at", "__found.id")).alias("last_good"))
 
